@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import linededup, packing, quality, sharding, tokenfiles
+from pagelode.llm import linededup, packing, quality, sharding, simhash, tokenfiles
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +56,5 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_chunks_outside")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_packing, op8_token_files, op9_kd_tree, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_packing, op8_token_files, op9_kd_tree, op10_compression_bands)}
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
