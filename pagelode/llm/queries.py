@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import linededup, packing, quality, sharding, simhash, tokenfiles
+from pagelode.llm import linededup, mixing, packing, quality, sharding, simhash, tokenfiles
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sizes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfiles.write_token_files(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -56,5 +61,5 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_chunks_outside")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_packing, op8_token_files, op9_kd_tree, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_packing, op6_mixing, op8_token_files, op9_kd_tree, op10_compression_bands)}
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
