@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import linededup, mixing, packing, quality, sharding, simhash, tokenfiles
+from pagelode.llm import linededup, mixing, packing, quality, sharding, simhash, tokenfiles, warc
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_warc(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM q
+"""
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +76,5 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_chunks_outside")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_packing, op6_mixing, op8_token_files, op9_kd_tree, op10_compression_bands)}
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_line_dedup, op4_packing, op6_mixing, op8_token_files, op9_kd_tree, op10_compression_bands)}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_line_dedup": OP3_SQL}
