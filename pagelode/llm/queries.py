@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import linededup, mixing, packing, quality, sharding, simhash, tokenfiles, warc
+from pagelode.llm import ann, linededup, mixing, packing, quality, sharding, simhash, tokenfiles, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_sizes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -76,5 +80,5 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_chunks_outside")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_line_dedup, op4_packing, op6_mixing, op8_token_files, op9_kd_tree, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_line_dedup, op4_packing, op5_multi_index_hashing, op6_mixing, op8_token_files, op9_kd_tree, op10_compression_bands)}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_line_dedup": OP3_SQL}
