@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Workspace, arrow_map
+from pagelode.llm.common import Workspace, arrow_map, runs
 
 #: Bits of a code, and of one substring of it.
 BITS, SUBSTRING = 256, 16
@@ -174,8 +174,7 @@ def nearest(spark: SparkSession, df: DataFrame, every: int = 50, k: int = 5, aim
                 for q, row in MultiIndex(codes.encode(vectors)).within(codes.encode(query), reach):
                     # in pieces, for the vectors of many candidates
                     score = np.concatenate([np.einsum("ij,ij->i", vectors[row[a : a + 65536]], query[q[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)]) / (norm[row] * norm_q[q])
-                    cuts = np.flatnonzero(np.diff(q, prepend=-1))
-                    for a, b in zip(cuts, [*cuts[1:], len(q)], strict=True):
+                    for a, b in runs(q):
                         part = score[a:b]
                         edge = np.partition(part, max(len(part) - k - 1, 0))[max(len(part) - k - 1, 0)]
                         best = sorted((-part[j], i) for j in np.flatnonzero(part >= edge) for i in members[row[a + j]])[: k + 1]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,11 +115,6 @@ def text_column(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def spread(df: DataFrame, rows_each: int = 4096) -> DataFrame:
-    """The input as it is partitioned; here for one place to tune scan granularity."""
-    return df
-
-
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` text bytes, at least a row each: bounds memory whatever the row count."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -157,6 +151,12 @@ def row_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return run[edges[1:]] - run[edges[:-1]]
 
 
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal, non-negative keys."""
+    cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=False))
+
+
 def gather_ranges(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of flat[start : start + length] over all pairs."""
     ends = np.cumsum(lengths)
@@ -196,7 +196,3 @@ def running_start(ws: Workspace, df: DataFrame, order: list[str], value: str, ou
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
-
-def buckets_for(items: int, each: int, least: int = 1) -> int:
-    """A power of two of buckets that hold about ``each`` items."""
-    return 1 << max(math.ceil(math.log2(max(items / each, least, 1))), 0)

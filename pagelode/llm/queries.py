@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import ann, linededup, mixing, packing, quality, sharding, simhash, tokenfiles, warc
+from pagelode.llm import ann, linededup, lm, mixing, packing, quality, sharding, simhash, tokenfiles, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfiles.write_token_files(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -80,5 +84,5 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_chunks_outside")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_line_dedup, op4_packing, op5_multi_index_hashing, op6_mixing, op8_token_files, op9_kd_tree, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_line_dedup, op4_packing, op5_multi_index_hashing, op6_mixing, op7_kneser_ney, op8_token_files, op9_kd_tree, op10_compression_bands)}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_line_dedup": OP3_SQL}
