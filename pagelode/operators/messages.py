@@ -58,16 +58,23 @@ def first_seen(df: DataFrame, keys: list[str], order: tuple[str, ...] = FIRST_IN
     return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(*df.columns)
 
 
+def _hits(patterns: tuple[str, ...]) -> Column:
+    """All matches of all patterns in ``content``, with the pattern's and the match's number."""
+
+    def of(number: int, pattern: str) -> Column:
+        found = F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m, i: F.struct(F.lit(number).alias("pattern"), i.alias("position"), m.alias("match")))
+
+    return F.flatten(F.array(*(of(k, p) for k, p in enumerate(patterns))))
+
+
 def extract_messages(blocks: DataFrame) -> DataFrame:
     """Messages named in blocks with content (doc_id, page, ord, content, citation), each at its first place in a document.
 
     All patterns run on every block in one projection; ties are settled by page,
     block, pattern and place.  Table text is not scanned.
     """
-    hits = F.flatten(
-        F.array(*(F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(0)), lambda m, i, k=k: F.struct(F.lit(k).alias("pattern"), i.alias("position"), m.alias("match"))) for k, p in enumerate(T.MESSAGE_PATTERNS)))
-    )
-    found = blocks.where(F.col("content").isNotNull()).select("doc_id", "page", "ord", "content", "citation", F.explode(hits).alias("hit"))
+    found = blocks.where(F.col("content").isNotNull()).select("doc_id", "page", "ord", "content", "citation", F.explode(_hits(T.MESSAGE_PATTERNS)).alias("hit"))
     found = found.select("doc_id", "page", "ord", "content", "citation", "hit.pattern", "hit.position", message_id(F.col("hit.match")).alias("message_id"))
     found = found.where(F.col("message_id").isNotNull() & (F.col("message_id") != ""))
     first = first_seen(found, ["doc_id", "message_id"])
@@ -144,8 +151,7 @@ def field_specs(blocks: DataFrame) -> DataFrame:
     named = F.coalesce(*(T.first_match(cell, p, 0) for p in FIELD_PATTERNS))
     attributes = [attribute(k) for k in ("name", "type", "opt", "card", "desc")]
     from_tables = rows.where(named.isNotNull()).select("doc_id", _field_id(named).alias("field_id"), "page", "ord", F.lit(0).alias("pattern"), "position", "citation", F.lit(0).alias("late"), *attributes)
-    hits = F.flatten(F.array(*(F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(0)), lambda m, i, k=k: F.struct(F.lit(k).alias("pattern"), i.alias("position"), m.alias("match"))) for k, p in enumerate(FIELD_PATTERNS))))
-    text = blocks.where((F.col("type") == "text") & F.col("content").isNotNull()).select("doc_id", "page", "ord", "citation", F.explode(hits).alias("hit"))
+    text = blocks.where((F.col("type") == "text") & F.col("content").isNotNull()).select("doc_id", "page", "ord", "citation", F.explode(_hits(FIELD_PATTERNS)).alias("hit"))
     empty = [F.lit(None).cast("string").alias(n) for n in ("name", "data_type", "optionality", "cardinality", "description")]
     from_text = text.select("doc_id", _field_id(F.col("hit.match")).alias("field_id"), "page", "ord", "hit.pattern", "hit.position", "citation", F.lit(0).alias("late"), *empty)
     return first_seen(from_tables.unionByName(from_text), ["doc_id", "field_id"]).drop("late", "pattern", "position")

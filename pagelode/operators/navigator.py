@@ -108,11 +108,11 @@ def chunk_text(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Colum
 
     def step(a: Column, _: Column) -> Column:
         piece = F.substring(text, a["at"] + 1, F.lit(size))
-        last = lambda mark: F.length(piece) - F.instr(F.reverse(piece), mark[::-1]) - 1  # noqa: E731  0-based place of a mark's last occurrence
+        last = lambda mark: F.length(piece) - F.instr(F.reverse(piece), mark[::-1]) - 1  # noqa: E731  0-based place of a two-letter mark's last occurrence
         cut = F.lit(None).cast("int")
         for mark in (". ", ".\n", "! ", "?\n"):
             found = (F.instr(F.reverse(piece), mark[::-1]) > 0) & (last(mark) > size / 2)
-            cut = F.coalesce(cut, F.when(found, last(mark) + 1))
+            cut = F.coalesce(cut, F.when(found, last(mark) + len(mark)))
         whole = (a["at"] + size) < F.length(text)
         end = a["at"] + F.when(whole & cut.isNotNull(), cut).otherwise(F.lit(size))
         chunk = F.trim(F.substring(text, a["at"] + 1, end - a["at"]))
@@ -120,4 +120,4 @@ def chunk_text(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Colum
         return F.when(a["at"] < F.length(text), more).otherwise(a)
 
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), state, step, lambda a: a["out"])
-    return F.when(F.length(text) <= size, F.when(F.trim(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))).otherwise(folded)
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(folded)

@@ -41,7 +41,8 @@ def idf(terms: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, terms: DataFrame, doc_lengths: DataFrame, k: int = 10) -> DataFrame:
     """The k best documents of each query (query_id, text): query_id, doc, score, rank from 1; ties to the smaller doc, none at or below 0.
 
-    A query's repeated tokens count as often as they stand.
+    A query's repeated tokens count as often as they stand.  Scores that agree to nine
+    places are ties: a sum's last digits depend on the order of its terms.
     """
     stats = corpus_stats(doc_lengths)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -49,7 +50,7 @@ def bm25(queries: DataFrame, terms: DataFrame, doc_lengths: DataFrame, k: int =
     hits = asked.join(terms, "term").join(weights, "term").join(doc_lengths, "doc").crossJoin(F.broadcast(stats))
     part = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
-    return top(scores, ["query_id"], [F.desc("score"), F.asc("doc")], k)
+    return top(scores, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc")], k)
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
