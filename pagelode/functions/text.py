@@ -147,4 +147,4 @@ def json_payload(response: Column) -> Column:
     array, object_ = F.regexp_extract(response, r"(?s)(\[.*\])", 1), F.regexp_extract(response, r"(?s)(\{.*\})", 1)
     a, o = F.instr(response, "["), F.instr(response, "{")
     bare = F.when((a > 0) & ((o == 0) | (a < o)) & (array != ""), array).when(object_ != "", object_).when(array != "", array).otherwise(response)
-    return F.trim(F.when(response.rlike(r"(?s)```json.*?```"), fenced).when(response.rlike(r"(?s)```.*?```"), plain).otherwise(bare))
+    return F.btrim(F.when(response.rlike(r"(?s)```json.*?```"), fenced).when(response.rlike(r"(?s)```.*?```"), plain).otherwise(bare), F.lit(" \t\r\n"))

@@ -13,8 +13,8 @@ def hashed(blocks: DataFrame) -> DataFrame:
     """A row for each content hash, the last block that has it; blocks without content are left out."""
     content = F.coalesce("content", "markdown_table")
     with_hash = blocks.withColumn("content", content).withColumn("content_hash", content_hash(content)).where(F.col("content_hash").isNotNull())
-    last = F.max_by(F.struct("page", "ord", "type", "content"), F.struct("page", "ord")).alias("b")
-    return with_hash.groupBy("content_hash").agg(last).select("content_hash", "b.*")
+    last = F.max_by(F.struct("page", "ord", "type", "content"), F.struct("page", "ord")).alias("_last")
+    return with_hash.groupBy("content_hash").agg(last).select("content_hash", "_last.*")
 
 
 def block_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def block_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     before, after = hashed(old), hashed(new)
     gone = before.join(after.select("content_hash"), "content_hash", "left_anti").select(F.lit("removed").alias("side"), "content_hash", "page", "type", F.col("content").alias("old"), F.lit(None).cast("string").alias("new"))
     come = after.join(before.select("content_hash"), "content_hash", "left_anti").select(F.lit("added").alias("side"), "content_hash", "page", "type", F.lit(None).cast("string").alias("old"), F.col("content").alias("new"))
-    return gone.unionByName(come).withColumn("impact", impact.change(F.col("old"), F.col("new"), F.col("type"))).select("side", "content_hash", "page", "type", "old", "new", "impact.*")
+    return gone.unionByName(come).withColumn("_impact", impact.change(F.col("old"), F.col("new"), F.col("type"))).select("side", "content_hash", "page", "type", "old", "new", "_impact.*")
 
 
 def set_changes(old: DataFrame, new: DataFrame, column: str) -> DataFrame:

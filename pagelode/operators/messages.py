@@ -54,8 +54,8 @@ def standards_table(spark: SparkSession) -> DataFrame:
 def first_seen(df: DataFrame, keys: list[str], order: tuple[str, ...] = FIRST_IN_DOC) -> DataFrame:
     """The earliest row of each key.  An aggregate, combined before the shuffle, rather than a sort of every key's rows."""
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
-    return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(*df.columns)
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
 def _hits(patterns: tuple[str, ...]) -> Column:
@@ -118,7 +118,7 @@ def auto_accept(messages: DataFrame, custom: DataFrame, device: Column, at: Colu
 
 def review_message(reviews: DataFrame) -> DataFrame:
     """The latest review of each device's message, from an append-only log (device, message_id, review_status, notes, reviewed_at)."""
-    return reviews.groupBy("device", "message_id").agg(F.max_by(F.struct("review_status", "notes", "reviewed_at"), "reviewed_at").alias("r")).select("device", "message_id", "r.*")
+    return reviews.groupBy("device", "message_id").agg(F.max_by(F.struct("review_status", "notes", "reviewed_at"), "reviewed_at").alias("_last")).select("device", "message_id", "_last.*")
 
 
 FIELD_PATTERNS = (T.FIELD, T.FIELD_DOT, T.FIELD_ANY)

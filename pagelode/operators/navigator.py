@@ -83,7 +83,7 @@ def table_index(blocks: DataFrame) -> DataFrame:
     """Tables by key p{page}_{table_ref}; a later table of the same key replaces an earlier one."""
     key = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_"), "table_ref")
     tables = blocks.where(F.col("type") == "table").withColumn("key", key)
-    last = tables.groupBy("doc_id", "key").agg(F.max_by(F.struct("page", "ord", "table_ref", "citation", "markdown_table"), F.struct("page", "ord")).alias("t")).select("doc_id", "key", "t.*")
+    last = tables.groupBy("doc_id", "key").agg(F.max_by(F.struct("page", "ord", "table_ref", "citation", "markdown_table"), F.struct("page", "ord")).alias("_last")).select("doc_id", "key", "_last.*")
     parsed = md.parse_table(F.col("markdown_table"))
     return last.withColumn("row_count", F.coalesce(F.size(parsed["cells"]), F.lit(0))).withColumn("col_count", F.coalesce(F.size(parsed["headers"]), F.lit(0)))
 

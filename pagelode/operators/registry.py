@@ -15,8 +15,8 @@ def device_id(vendor: Column, model: Column) -> Column:
 def latest_versions(versions: DataFrame, at: str = "registered_at") -> DataFrame:
     """The last version registered of each device."""
     rest = [c for c in versions.columns if c != "device_id"]
-    last = versions.groupBy("device_id").agg(F.max_by(F.struct(*rest), F.struct(at, "version")).alias("v"))
-    return last.select("device_id", "v.*")
+    last = versions.groupBy("device_id").agg(F.max_by(F.struct(*rest), F.struct(at, "version")).alias("_last"))
+    return last.select("device_id", "_last.*")
 
 
 def history(versions: DataFrame, device: str) -> DataFrame:
@@ -52,12 +52,12 @@ def cache_view(puts: DataFrame, verifications: DataFrame, hits: DataFrame) -> Da
     prompt_hash, at.  Putting a response again starts it anew, unverified and without hits.
     """
     rest = [c for c in puts.columns if c != "prompt_hash"]
-    last = puts.groupBy("prompt_hash").agg(F.max_by(F.struct(*rest), "created_at").alias("p")).select("prompt_hash", "p.*")
+    last = puts.groupBy("prompt_hash").agg(F.max_by(F.struct(*rest), "created_at").alias("_put_row")).select("prompt_hash", "_put_row.*")
     since = last.select("prompt_hash", F.col("created_at").alias("_put"))
-    checked = verifications.join(since, "prompt_hash").where(F.col("reviewed_at") >= F.col("_put")).groupBy("prompt_hash").agg(F.max_by(F.struct("corrected_response", "reviewed_at"), "reviewed_at").alias("v"))
+    checked = verifications.join(since, "prompt_hash").where(F.col("reviewed_at") >= F.col("_put")).groupBy("prompt_hash").agg(F.max_by(F.struct("corrected_response", "reviewed_at"), "reviewed_at").alias("_review"))
     used = hits.join(since, "prompt_hash").where(F.col("at") >= F.col("_put")).groupBy("prompt_hash").agg(F.count("*").alias("hit_count"))
     view = last.join(checked, "prompt_hash", "left").join(used, "prompt_hash", "left")
-    return view.select(*last.columns, F.col("v").isNotNull().alias("is_verified"), F.col("v.corrected_response").alias("corrected_response"), F.col("v.reviewed_at").alias("reviewed_at"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"))
+    return view.select(*last.columns, F.col("_review").isNotNull().alias("is_verified"), F.col("_review.corrected_response").alias("corrected_response"), F.col("_review.reviewed_at").alias("reviewed_at"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"))
 
 
 def lookup(prompts: DataFrame, cache: DataFrame, model: str) -> DataFrame:

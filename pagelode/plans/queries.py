@@ -643,3 +643,72 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CACHE + "SELECT prompt_hash, CAST(hit_count AS BIGINT) AS hit_count FROM cache WHERE is_verified ORDER BY hit_count DESC, put_at DESC, prompt_hash LIMIT 5")
 def cache_few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.few_shot(_cache(spark, sf_dir)).select("prompt_hash", "hit_count")
+
+
+# --- images, sidecars, documents and flows ----------------------------------------------------------------------------
+
+
+@query(
+    """WITH h AS (SELECT user_id, event_id % 17 * 15 AS value, count(*) AS n FROM events GROUP BY ALL),
+s AS (SELECT user_id, value, sum(n) OVER w AS w0, sum(n * value) OVER w AS s0, sum(n) OVER (PARTITION BY user_id) AS w, sum(n * value) OVER (PARTITION BY user_id) AS s FROM h WINDOW w AS (PARTITION BY user_id ORDER BY value)),
+b AS (SELECT user_id, value, round(CASE WHEN w > w0 THEN w0::DOUBLE * (w - w0) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (w - w0)) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (w - w0)) ELSE 0 END, 6) AS v FROM s)
+SELECT user_id, value AS threshold FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, value) = 1"""
+)
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.operators import images
+
+    pixels = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 17 * 15).alias("value"))
+    return images.otsu_threshold(images.histogram(pixels, ["user_id"]), ["user_id"])
+
+
+def _sidecar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "blocks").select(
+        "doc_id", "page", "ord", "type", G.bbox(F.lit(0.0), F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("bbox"), "citation", F.lit(0).alias("md_start"), F.length("content").alias("md_end"), "content",
+        *(F.lit(None).cast("string").alias(c) for c in ("image_ref", "table_ref")), "markdown_table", F.lit("text").alias("source"),
+    )
+
+
+@query(frame_sql("blocks") + " SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS INT) AS ord, type, content, citation, 0 AS md_start, CAST(length(content) AS INT) AS md_end, 'text' AS source FROM blocks")
+def sidecar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.schemas import SIDECAR
+    from pagelode.sources import sidecar
+
+    blocks = _sidecar_blocks(spark, sf_dir)
+    pages = blocks.groupBy("doc_id", "page").agg(F.lit("").alias("markdown"))
+    text = sidecar.to_sidecars(pages, blocks)
+    parsed = text.select("doc_id", F.explode(F.from_json("value", SIDECAR)["pages"]).alias("p"))
+    return sidecar.blocks(parsed).select("doc_id", "page", "ord", "type", "content", "citation", "md_start", "md_end", "source")
+
+
+@query(frame_sql("blocks") + ", p AS (SELECT doc_id, page, chr(10) || '# Page ' || page || chr(10) || chr(10) || string_agg(content || chr(10), chr(10) ORDER BY ord) AS md FROM blocks GROUP BY doc_id, page) SELECT doc_id, sha256(string_agg(md, chr(10) ORDER BY page)) AS hash, CAST(sum(length(md)) + count(*) - 1 AS INT) AS length FROM p GROUP BY 1")
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.sources import markdown
+
+    whole = markdown.simple_document(_sidecar_blocks(spark, sf_dir))
+    return whole.select("doc_id", F.sha2("markdown", 256).alias("hash"), F.length("markdown").alias("length"))
+
+
+@query(MESSAGES + "SELECT doc_id, count(*) AS total FROM m GROUP BY 1")
+def baseline_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.plans import flows
+
+    blocks = frame(spark, sf_dir, "blocks")
+    pages = blocks.groupBy("doc_id", "page").agg(F.lit("").alias("markdown"))
+    _, report = flows.onboard(pages, blocks, "1", "Device", "now")
+    return report.select("doc_id", F.regexp_extract("report", r"Total Messages:\*\* (\d+)", 1).cast("long").alias("total"))
+
+
+@query(CHANGES + "SELECT high, CASE WHEN high + medium > 0 THEN 'YES' ELSE 'NO' END AS required FROM cnt")
+def change_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.operators import reports
+
+    changes = _changes(spark, sf_dir)
+    report = reports.change_report(changes, D.rebuild_decision(changes), "1", "2", "Device", "now")
+    return report.select(F.regexp_extract("report", r"- HIGH: (\d+)", 1).cast("long").alias("high"), F.regexp_extract("report", r"Required:\*\* (\w+)", 1).alias("required"))
+
+
+@query("SELECT conv_id, turn, 'A' || conv_id AS id FROM conversations")
+def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.concat(F.lit('[{"id": "A'), F.col("conv_id").cast("string"), F.lit('"}]'))
+    fenced = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), a, F.lit("\n```\nDone."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("```\n"), a, F.lit("\n```"))).otherwise(F.concat(F.lit("I found "), a, F.lit(" there")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.from_json(T.json_payload(fenced), "array<struct<id: string>>")[0]["id"].alias("id"))

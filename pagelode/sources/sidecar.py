@@ -17,16 +17,18 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     one in ``unreadable``.
     """
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1).alias("doc_id"), F.col("value"))
+    return files.select("doc_id", F.explode(_pages()).alias("p"))
+
+
+def _pages() -> Column:
     listed = F.startswith(F.ltrim("value"), F.lit("["))
-    pages = F.when(listed, F.from_json("value", f"array<{SIDECAR_PAGE}>")).otherwise(F.from_json("value", SIDECAR)["pages"])
-    return files.select("doc_id", F.explode(pages).alias("p"))
+    return F.when(listed, F.from_json("value", f"array<{SIDECAR_PAGE}>")).otherwise(F.from_json("value", SIDECAR)["pages"])
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold no pages, as error rows."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    pages = F.coalesce(F.from_json("value", SIDECAR)["pages"], F.from_json("value", f"array<{SIDECAR_PAGE}>"))
-    return files.where(pages.isNull()).select("file", F.lit("error").alias("severity"), F.lit("no pages").alias("message"))
+    return files.where(_pages().isNull()).select("file", F.lit("error").alias("severity"), F.lit("no pages").alias("message"))
 
 
 def _box(b: Column) -> Column:
