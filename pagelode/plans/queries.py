@@ -712,3 +712,139 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.concat(F.lit('[{"id": "A'), F.col("conv_id").cast("string"), F.lit('"}]'))
     fenced = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), a, F.lit("\n```\nDone."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("```\n"), a, F.lit("\n```"))).otherwise(F.concat(F.lit("I found "), a, F.lit(" there")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.from_json(T.json_payload(fenced), "array<struct<id: string>>")[0]["id"].alias("id"))
+
+
+# --- further operators, a query each ----------------------------------------------------------------------------------
+
+
+@query(BOXES + " SELECT ord FROM boxes WHERE type = 'text' AND sqrt(power((x0 + x1) / 2 - 300, 2) + power((y0 + y1) / 2 - 400, 2)) <= 60")
+def text_near_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir).withColumn("citation", F.col("ord").cast("string"))
+    cited = boxes.select("doc_id", "page", F.col("citation").alias("citation_id"), "bbox").distinct()
+    return B.text_near(boxes, cited, G.bbox(*map(F.lit, (280.0, 380.0, 320.0, 420.0))), 60.0).select("ord")
+
+
+@query(
+    BOXES
+    + """, t AS (SELECT * FROM boxes WHERE type = 'text' AND content = 'AF'),
+p AS (SELECT p.doc_id, p.page, p.ord, t.ord AS near, abs((p.x0 + p.x1) / 2 - (t.x0 + t.x1) / 2) + abs((p.y0 + p.y1) / 2 - (t.y0 + t.y1) / 2) AS distance FROM boxes p LEFT JOIN t ON p.doc_id = t.doc_id AND p.page = t.page WHERE p.type = 'picture')
+SELECT doc_id, page, ord, arg_min('Figure ' || (near % 10), row(distance, near)) AS caption, min(distance) AS distance FROM p GROUP BY ALL"""
+)
+def nearest_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captioned = F.when(F.col("content") == "AF", F.concat(F.lit("Figure "), (F.col("ord") % 10).cast("string"))).otherwise(F.col("content"))
+    return B.captions(_boxes(spark, sf_dir).withColumn("content", captioned)).select("doc_id", "page", "ord", "caption", "distance")
+
+
+@query(BOXES + " SELECT ord FROM boxes WHERE x1 - x0 >= 20 AND y1 - y0 >= 15")
+def graphics_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _boxes(spark, sf_dir)
+    return B.graphics(wide.withColumn("bbox", G.bbox(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1") + 5))).select("ord")
+
+
+@query("SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) AS content FROM lineitem GROUP BY 1")
+def span_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct("l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("text"))
+    spans = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    lines = F.array(F.struct(F.transform("s", lambda x: F.struct(x["text"].alias("text"))).alias("spans")))
+    return B.text_blocks(spans.select("l_orderkey", lines.alias("lines"))).select("l_orderkey", "content")
+
+
+@query("SELECT l_orderkey AS region, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_returnflag) AS text, round(avg(l_quantity * 2) / 100, 6) AS confidence FROM lineitem WHERE l_quantity > 1 GROUP BY 1 HAVING avg(l_quantity * 2) / 100 >= 0.7")
+def ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "lineitem").select(
+        F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("l_orderkey").alias("region"), F.struct("l_linenumber", "l_partkey").alias("position"), F.col("l_returnflag").alias("text"),
+        F.when(F.col("l_quantity") > 1, F.col("l_quantity") * 2).otherwise(-1.0).alias("conf"),
+    )
+    return B.ocr_results(words).select("region", "text", r6("confidence").alias("confidence"))
+
+
+@query(BOXES + " SELECT ord, list_filter(['bbox', 'page'], lambda x: CASE x WHEN 'bbox' THEN x1 - 60 < x0 ELSE page < 1 END) AS violations FROM boxes")
+def citation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = _boxes(spark, sf_dir).withColumn("bbox", G.bbox(F.col("x0"), F.col("y0"), F.col("x1") - 60, F.col("y1"))).withColumn("source", F.lit("text")).withColumn("confidence", F.lit(0.5))
+    return IN.citation_violations(broken).select("ord", "violations")
+
+
+@query(r"SELECT page_id, '20240102_030405_' || left(regexp_replace(regexp_replace('spec_v' || page_id || '-20240101 Device' || page_id, '[_-](v\d+|version\d+|\d{4,8})', '', 'gi'), '[^A-Za-z0-9]', '', 'g'), 20) AS session FROM pages")
+def session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("spec_v"), F.col("page_id").cast("string"), F.lit("-20240101 Device"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", T.session_name(name, F.to_timestamp(F.lit("2024-01-02 03:04:05"))).alias("session"))
+
+
+@query("SELECT doc_id, upper(sha256(text)) = upper(sha256(text)) AND doc_id % 2 = 0 AS intact FROM documents")
+def file_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.encode("text", "UTF-8")
+    expected = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2(content, 256))).otherwise("none")
+    return table(spark, sf_dir, "documents").select("doc_id", H.same_file(content, expected).alias("intact"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS a, CASE WHEN event_id % 3 = 0 THEN event_type END AS b FROM events)
+SELECT event_id, list_filter(['a', 'b', 'c'], lambda k: CASE k WHEN 'a' THEN a = '' WHEN 'b' THEN b IS NULL ELSE true END) AS missing, CASE WHEN a = '' THEN 'n' ELSE a END AS a, coalesce(b, 'm') AS b FROM e"""
+)
+def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.plans import flows
+
+    n = F.col("event_id")
+    data = F.create_map(F.lit("a"), F.when(n % 2 == 0, "x").otherwise(""), F.lit("b"), F.when(n % 3 == 0, F.col("event_type")))
+    merged = flows.merge_missing(data, F.create_map(F.lit("a"), F.lit("n"), F.lit("b"), F.lit("m")))
+    return table(spark, sf_dir, "events").select("event_id", flows.missing_keys(data, ("a", "b", "c")).alias("missing"), merged["a"].alias("a"), merged["b"].alias("b"))
+
+
+@query(MESSAGES + "SELECT doc_id AS device, count(*) AS n_pending, list_sort(list(message_id)) AS messages FROM m WHERE category = 'unrecognized' GROUP BY 1")
+def pending_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _messages(spark, sf_dir)
+    log = found.select(F.col("doc_id").alias("device"), "message_id", F.when(F.col("recognized"), "approved").otherwise("pending").alias("review_status"))
+    return R.pending_reviews(log)
+
+
+@query(FIELDS + " SELECT doc_id, page, 'field' AS kind, 'Field: ' || field_name || ' | Type: ' || field_type || ' | Message: ' || message_id || ' | Description: ' || description || ' | Example: ' || example AS chunk FROM f UNION ALL SELECT doc_id, page, 'table', markdown_table FROM spec_tables")
+def device_index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.device_chunks(frame(spark, sf_dir, "spec_tables"), _fields(spark, sf_dir)).select("doc_id", "page", "kind", "chunk")
+
+
+@query(frame_sql("spec_tables") + ", " + CELLS + """ SELECT doc_id, 'p' || page || '_table_' || page || '_1' AS key, CAST(count(*) AS INT) AS row_count, 4 AS col_count FROM c GROUP BY doc_id, page""")
+def table_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = frame(spark, sf_dir, "spec_tables").withColumn("table_ref", T.table_ref(F.col("page"), F.lit(1)))
+    return N.table_index(tables).select("doc_id", "key", "row_count", "col_count")
+
+
+@query("SELECT source AS doc_id, CAST(doc_id % 5 AS INT) AS page, list(CAST(doc_id AS INT) ORDER BY doc_id) AS starts FROM documents GROUP BY ALL")
+def spans_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), (F.col("doc_id") % 5).cast("int").alias("page"), F.col("doc_id").cast("int").alias("start"), F.lit(0).alias("end"), "text")
+    return N.by_page(spans).select("doc_id", "page", F.transform("spans", lambda s: s["start"]).alias("starts"))
+
+
+@query("SELECT doc_id, CAST(doc_id % 7 AS INT) AS page FROM documents ORDER BY coalesce(CASE WHEN doc_id % 3 > 0 THEN doc_id % 10 / 10.0 END, 0) DESC, doc_id % 7, doc_id LIMIT 20")
+def spans_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("page"), F.col("doc_id").alias("start"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 10 / 10).alias("score"))
+    return N.top_k(spans, 20).select("doc_id", "page")
+
+
+@query(FIELDS + ", n AS (SELECT doc_id, page, unnest([trim(string_split(regexp_extract(markdown, 'Analytes: ([^\\n]+)', 1), ',')[1]), 'glucose']) AS name FROM spec_pages), a AS (SELECT doc_id, name, page, 'text_mention' AS source FROM n UNION ALL SELECT doc_id, 'glucose', page, 'table' FROM f WHERE row = 0 AND page % 3 = 0) SELECT DISTINCT ON (doc_id, name) doc_id, name, source, page FROM a ORDER BY doc_id, name, CASE WHEN source = 'text_mention' THEN 1 ELSE 0 END, page")
+def analyte_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = FD.text_analytes(frame(spark, sf_dir, "spec_pages"), "markdown")
+    tables = _fields(spark, sf_dir).where("row = 0 AND page % 3 = 0").select("doc_id", F.lit("glucose").alias("name"), F.lit(None).cast("string").alias("test_type"), "page", F.lit("table").alias("source"))
+    return FD.unique_analytes(mentions.unionByName(tables), exact=True).select("doc_id", "name", "source", "page")
+
+
+@query("WITH d AS (SELECT text, min(row(doc_id % 10, doc_id)) AS seen FROM documents GROUP BY 1) SELECT text FROM d ORDER BY seen LIMIT 20")
+def discovery_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.plans import flows
+
+    hits = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("rank"), "text")
+    return flows.discovery_context(hits).select("text")
+
+
+@query(MESSAGES + "SELECT count(*) AS total_messages, count(*) FILTER (message_id IN ('OBS.R01', 'QCN.R01')) AS core_messages, count(*) FILTER (message_id LIKE 'Z%') AS vendor_messages, CAST(sum(page) AS BIGINT) AS field_count FROM m")
+def blueprint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.plans import flows
+
+    found = _messages(spark, sf_dir).select(F.col("message_id").alias("message_type"), F.sequence(F.lit(1), F.col("page")).alias("fields"))
+    return flows.blueprint_summary(found)
+
+
+@query("WITH a AS (SELECT doc_id, text FROM documents) SELECT 'Merge these messages of the device d' || doc_id || ' into one JSON object with a key a message; keep every field once.' || chr(10) || chr(10) || text AS prompt FROM a")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelode.plans import prompts as P
+
+    return table(spark, sf_dir, "documents").select(P.consolidation(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("text")).alias("prompt"))
