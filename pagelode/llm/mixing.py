@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import WORD, Workspace, arrow_map, running_start, text_column
+from pagelode.llm.common import WORD, Workspace, arrow_map, running_start
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
