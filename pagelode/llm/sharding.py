@@ -31,9 +31,16 @@ class Node:
     children: tuple[Node, ...] = field(default=())
 
 
+def _small(spark: SparkSession, values: list[tuple], columns: str) -> DataFrame:
+    """A table of a few rows of numbers, planned as literals: no Python runs on the executors for it."""
+    names = [c.split() for c in columns.split(", ")]
+    rows = ", ".join("(" + ", ".join(f"CAST('{v!r}' AS {kind})" for v, (_, kind) in zip(row, names, strict=True)) + ")" for row in values)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(n for n, _ in names)})")
+
+
 def _meet(rows: DataFrame, values: list[tuple], columns: str) -> DataFrame:
     """Rows with their node's values.  A broadcast of a row a node: at most as many as shards."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(values, columns)), "node")
+    return rows.join(F.broadcast(_small(rows.sparkSession, values, columns)), "node")
 
 
 def _along(nodes: list[Node]) -> tuple[list[tuple], str]:
@@ -49,7 +56,7 @@ def _position(dims: list[str]) -> Column:
 def _descend(rows: DataFrame, dims: list[str], level: list[Node]) -> DataFrame:
     """Rows moved to their node's children; those in a leaf stay."""
     values = [(n.number, n.dim, n.low, n.span, n.cut, n.children[0].number, n.children[1].number) for n in level]
-    cuts = rows.sparkSession.createDataFrame(values, "node int, dim int, low double, span double, cut long, left int, right int")
+    cuts = _small(rows.sparkSession, values, "node int, dim int, low double, span double, cut long, left int, right int")
     moved = F.when(F.col("dim").isNull(), F.col("node")).when(_position(dims) < F.col("cut"), F.col("left")).otherwise(F.col("right"))
     return rows.join(F.broadcast(cuts), "node", "left").select(*[c for c in rows.columns if c != "node"], moved.alias("node"))
 
