@@ -20,7 +20,7 @@ FIELD_NAME = r"(?i)(?:Field|Name):\s*([A-Za-z_][A-Za-z0-9_]*)"
 DATA_TYPE = r"\b(ST|NM|CX|CE|TS|DTM|ID|IS|TX|FT|DT|TM)\b"
 OPTIONALITY = r"\b([ROC])(?:\[\d+\.\.\d+\])?\b"
 VENDOR_SEGMENT = r"\bZ[A-Z]{2}\b"
-HEADING = r"^(#{1,6})\s+(.+)$"
+HEADING = r"(?md)^(#{1,6})\s+(.+)$"
 IMAGE = r"!\[([^\]]*)\]\(([^\)]+)\)"
 CAPTION = r"(?i)\b(Figure\s+\d+|Fig\.\s*\d+|Table\s+\d+|Diagram\s+\d+|Chart\s+\d+)"
 
@@ -108,15 +108,18 @@ def footnote(citation: Column, page: Column, box: Column, source: Column, confid
     return F.concat_ws("", *parts)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """All matches as an array of structs (start, end, match), 0-based and half-open, without a Python function.
+def match_spans(text: Column, pattern: str, limit: int | None = None) -> Column:
+    """Matches (the first ``limit``) as an array of structs (start, end, match), 0-based and half-open, without a Python function.
 
     The text between matches and the matches themselves are both known natively;
     running lengths of the two give the positions.  The pattern must not match the
-    empty string.
+    empty string.  A match's place is summed from the start of the text, so ask for no
+    more matches of a text than are needed.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if limit is not None:
+        gaps, found = F.slice(gaps, 1, limit), F.slice(found, 1, limit)
     lengths = F.transform(found, lambda s: F.length(s))
 
     def place(s: Column, i: Column) -> Column:
@@ -132,14 +135,6 @@ def keyword_pattern(keyword: str) -> str:
     return "(?i)" + "".join("\\" + c if c in r"\.^$|?*+()[]{}-&~#" else c for c in keyword)
 
 
-def lines_with_offsets(text: Column) -> Column:
-    """Lines as structs (start, line)."""
-    lines = F.split(text, "\n", -1)
-    return F.transform(
-        lines, lambda line, i: F.struct((F.aggregate(F.transform(F.slice(lines, 1, i), lambda s: F.length(s)), F.lit(0), lambda a, x: a + x) + i).alias("start"), line.alias("line"))
-    )
-
-
 def json_payload(response: Column) -> Column:
     """The JSON in a model's answer: in a json fence, else in a plain fence, else from the first bracket to its last partner."""
     fenced = F.regexp_extract(response, r"(?s)```json\s*(.*?)```", 1)

@@ -33,16 +33,18 @@ DESCRIPTIONS = {
 ANALYTE_HEADERS = ("test type", "analyte", "assay", "test name", "supported test", "available test", "result", "observation", "measurement")
 
 
-def _fields_of(markdown: Column) -> Column:
-    """Rows of a field table as structs, null for other tables."""
-    lines = md.table_lines(markdown)
-    headers = md.line_cells(F.get(lines, F.lit(0)))
-    at = {k: md.header_like(headers, p) for k, p in COLUMNS.items()}
-    widest = F.greatest(*(F.coalesce(c, F.lit(-1)) for c in at.values()))
-    rows = F.transform(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), lambda s, i: F.struct(i.alias("row"), md.line_cells(s).alias("cells")))
-    rows = F.filter(rows, lambda r: F.size(r["cells"]) > widest)
-    found = F.transform(rows, lambda r: F.struct(r["row"].alias("row"), *(F.get(r["cells"], c).alias(k) for k, c in at.items())))
-    return F.when((F.size(lines) >= 3) & at["field"].isNotNull(), F.filter(found, lambda f: ~F.lower(f["field"]).isin("field", "name", "")))
+def _field_rows(blocks: DataFrame) -> DataFrame:
+    """The data rows of field tables: doc_id, page, ord, citation, row, and a column for each family of headers.
+
+    Headers are placed once a table, below the explode of its rows.
+    """
+    tables = blocks.where(F.col("type") == "table").select("doc_id", "page", "ord", "citation", md.table_lines(F.col("markdown_table")).alias("lines")).where(F.size("lines") >= 3)
+    headed = tables.withColumn("headers", md.line_cells(F.get("lines", F.lit(0))))
+    placed = headed.select("doc_id", "page", "ord", "citation", "lines", *(md.header_like(F.col("headers"), p).alias(f"at_{k}") for k, p in COLUMNS.items())).where(F.col("at_field").isNotNull())
+    at = [f"at_{k}" for k in COLUMNS]
+    rows = placed.select("doc_id", "page", "ord", "citation", *at, F.posexplode(F.slice("lines", 3, F.size("lines"))).alias("row", "line")).withColumn("cells", md.line_cells(F.col("line")))
+    full = rows.where(F.size("cells") > F.greatest(*(F.coalesce(c, F.lit(-1)) for c in at)))
+    return full.select("doc_id", "page", "ord", "citation", "row", *(F.get("cells", F.col(f"at_{k}")).alias(k) for k in COLUMNS)).where(~F.lower("field").isin("field", "name", ""))
 
 
 def field_definitions(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -52,12 +54,11 @@ def field_definitions(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     citation.  Where a page names several messages the first by position is taken.
     """
     parents = pages.select("doc_id", "page", F.regexp_extract("markdown", MESSAGE, 1).alias("message_id")).where(F.col("message_id") != "")
-    tables = blocks.where(F.col("type") == "table").select("doc_id", "page", "ord", "citation", F.explode(_fields_of(F.col("markdown_table"))).alias("f"))
-    joined = tables.join(parents, ["doc_id", "page"])
-    type_ = infer.field_type(F.col("f.field"), F.col("f.description"), F.col("f.example"))
+    joined = _field_rows(blocks).join(parents, ["doc_id", "page"])
+    type_ = infer.field_type(F.col("field"), F.col("description"), F.col("example"))
     return joined.select(
-        "doc_id", "page", "message_id", "ord", "f.row", F.col("f.field").alias("field_name"), type_.alias("field_type"), "f.optionality", "f.cardinality",
-        F.coalesce("f.description", F.lit("")).alias("description"), "f.example", F.col("citation").alias("citation_id"),
+        "doc_id", "page", "message_id", "ord", "row", F.col("field").alias("field_name"), type_.alias("field_type"), "optionality", "cardinality",
+        F.coalesce("description", F.lit("")).alias("description"), "example", F.col("citation").alias("citation_id"),
     )
 
 

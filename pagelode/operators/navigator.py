@@ -16,13 +16,16 @@ def search_spans(pages: DataFrame, pattern: str, keyword: bool = True, top_k: in
     """Matches of a keyword or pattern, case-blind, in order of page and place: doc_id, page, start, end, text, score, rank, total_results.
 
     ``top_k`` (None or 0: five) limits the rows of each document, not total_results.
-    Positions come from native splitting, not from a Python function.
+    Positions come from native splitting, not from a Python function, and only for the
+    first ``top_k`` matches of a page; the others are counted.
     """
-    regex = T.keyword_pattern(pattern) if keyword else f"(?i){pattern}"
-    hits = pages.select("doc_id", "page", F.explode(T.match_spans(F.coalesce("markdown", F.lit("")), regex)).alias("m"))
+    regex, k = T.keyword_pattern(pattern) if keyword else f"(?i){pattern}", top_k or TOP_K
+    text = F.coalesce("markdown", F.lit(""))
+    counted = pages.select("doc_id", "page", T.match_spans(text, regex, k).alias("first"), F.regexp_count(text, F.lit(regex)).cast("long").alias("n")).where("n > 0")
     w = Window.partitionBy("doc_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w.orderBy("page", "m.start"))).withColumn("total_results", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= (top_k or TOP_K)).select("doc_id", "page", "m.start", "m.end", F.col("m.match").alias("text"), F.lit(1.0).alias("score"), "rank", "total_results")
+    hits = counted.withColumn("total_results", F.sum("n").over(w)).select("doc_id", "page", "total_results", F.explode("first").alias("m"))
+    ranked = hits.withColumn("rank", F.row_number().over(w.orderBy("page", "m.start")))
+    return ranked.where(F.col("rank") <= k).select("doc_id", "page", "m.start", "m.end", F.col("m.match").alias("text"), F.lit(1.0).alias("score"), "rank", "total_results")
 
 
 def get_span(pages: DataFrame, blocks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -52,9 +55,9 @@ def neighbors(spans: DataFrame, pages: DataFrame, window: int = WINDOW) -> DataF
 
 def headings(pages: DataFrame) -> DataFrame:
     """Headings of the pages' markdown: doc_id, page, position, level, text."""
-    lines = pages.select("doc_id", "page", F.explode(T.lines_with_offsets(F.coalesce("markdown", F.lit("")))).alias("l"))
-    found = lines.where(F.col("l.line").rlike(T.HEADING))
-    return found.select("doc_id", "page", F.col("l.start").alias("position"), F.length(F.regexp_extract("l.line", T.HEADING, 1)).alias("level"), F.trim(F.regexp_extract("l.line", T.HEADING, 2)).alias("text"))
+    found = pages.select("doc_id", "page", F.explode(T.match_spans(F.coalesce("markdown", F.lit("")), T.HEADING)).alias("m"))
+    part = lambda g: F.regexp_extract("m.match", T.HEADING, g)
+    return found.select("doc_id", "page", F.col("m.start").alias("position"), F.length(part(1)).alias("level"), F.trim(part(2)).alias("text"))
 
 
 def toc(heads: DataFrame) -> DataFrame:

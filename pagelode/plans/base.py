@@ -17,7 +17,7 @@ _PAGE = "CAST(o_orderkey % 40 + 1 AS INT)"
 
 FRAMES = {
     "blocks": f"SELECT {_DOC} AS doc_id, {_PAGE} AS page, o_orderkey AS ord, 'text' AS type, o_orderstatus || ' message ' || {_MESSAGE} || ' ' || {_PHRASE} AS content, CAST(NULL AS STRING) AS markdown_table, 'p' || CAST({_PAGE} AS STRING) || '_txt' || CAST(o_orderkey AS STRING) AS citation FROM {{orders}}",
-    "boxes": "SELECT 'doc_' || CAST(l_orderkey % 50 AS STRING) AS doc_id, CAST(l_orderkey % 1000 AS INT) AS page, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS ord, CASE WHEN l_linenumber = 7 THEN 'picture' WHEN l_linenumber = 6 THEN 'table' ELSE 'text' END AS type, l_returnflag || l_linestatus AS content, CAST(l_quantity AS DOUBLE) * 10 AS x0, CAST(l_partkey % 800 AS DOUBLE) AS y0, CAST(l_quantity AS DOUBLE) * 10 + 40 + CAST(l_suppkey % 60 AS DOUBLE) AS x1, CAST(l_partkey % 800 AS DOUBLE) + 10 + CAST(l_linenumber AS DOUBLE) AS y1, l_orderkey, l_linenumber FROM {lineitem}",
+    "boxes": "SELECT 'doc_' || CAST(l_orderkey % 50 AS STRING) AS doc_id, CAST(floor(l_orderkey / 400) AS INT) AS page, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS ord, CASE WHEN l_linenumber = 7 THEN 'picture' WHEN l_linenumber = 6 THEN 'table' ELSE 'text' END AS type, l_returnflag || l_linestatus AS content, CAST(l_quantity AS DOUBLE) * 10 AS x0, CAST(l_partkey % 800 AS DOUBLE) AS y0, CAST(l_quantity AS DOUBLE) * 10 + 40 + CAST(l_suppkey % 60 AS DOUBLE) AS x1, CAST(l_partkey % 800 AS DOUBLE) + 10 + CAST(l_linenumber AS DOUBLE) AS y1, l_orderkey, l_linenumber FROM {lineitem}",
     "spec_pages": "SELECT 'part_' || p_brand AS doc_id, CAST(p_partkey AS INT) AS page, '# ' || p_type || chr(10) || 'Message OBS.R' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || CAST(p_size AS STRING) || ' about ' || p_name || chr(10) || '## ' || p_name || chr(10) || 'Analytes: ' || p_brand || ', none, glucose' || chr(10) || '### Size ' || CAST(p_size AS STRING) AS markdown FROM {part}",
     "spec_tables": "SELECT 'part_' || p_brand AS doc_id, CAST(p_partkey AS INT) AS page, CAST(1 AS INT) AS ord, 'table' AS type, CAST(NULL AS STRING) AS content, '| Field | Description | Example | Use |' || chr(10) || '|---|---|---|---|' || chr(10) || '| ' || p_name || '_cd | Code. Possible values are ON, OFF or N' || CAST(p_size AS STRING) || ' | ' || p_brand || ' | R |' || chr(10) || '| HDR.time_' || CAST(p_size AS STRING) || ' | When it was made | 20240101120000 | O |' || chr(10) || '| size' || CAST(p_partkey AS STRING) || ' | Measured | ' || CAST(p_size AS STRING) || CASE WHEN p_size % 2 = 0 THEN '.5' ELSE '' END || ' | O |' || chr(10) || '| short |' AS markdown_table, 'p' || CAST(p_partkey AS STRING) || '_tbl1' AS citation FROM {part}",
     "version1": "SELECT CAST(p_partkey % 40 + 1 AS INT) AS page, p_partkey AS ord, CASE WHEN p_size % 3 = 0 THEN 'table' ELSE 'text' END AS type, CASE p_size % 6 WHEN 0 THEN 'OBS.R' || CASE WHEN p_partkey % 90 < 10 THEN '0' ELSE '' END || CAST(p_partkey % 90 AS STRING) || ' ' WHEN 3 THEN 'MSH-' || CAST(p_size AS STRING) || ' ' || CASE WHEN p_partkey % 2 = 0 THEN 'R ' ELSE 'O ' END WHEN 4 THEN 'ZPX ' ELSE '' END || p_name AS content, CAST(NULL AS STRING) AS markdown_table FROM {part} WHERE p_partkey % 7 <> 0",
