@@ -63,6 +63,7 @@ def dedup_lines(spark: SparkSession, df: DataFrame, least_length: int = LEAST_LE
 
     lines = ws.cut(arrow_map(docs, hashes, "id long, h1 long, h2 long"), "lines")
     common = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= least_documents)
+    common = ws.cut(common, "common")  # so that the join stands on plain exchanges, whose skewed partitions Spark splits
     drops = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     drops = drops.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
     kept = df.withColumn(text, text_column(df, text))
