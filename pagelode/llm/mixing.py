@@ -86,7 +86,8 @@ class Mix:
         spans = self._spans().select("_row", "number", "start", "size", "block")
         begin = F.greatest("start", F.col("block") * self.block)
         length = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.block) - begin
-        return spans.join(self.slots, ["number", "block"]).select("_row", "shard", "slot", (begin - F.col("start")).alias("first"), length.alias("length"))
+        # Slots are made from a few rows of counts, so their number can't be seen in advance: never broadcast them.
+        return spans.hint("merge").join(self.slots, ["number", "block"]).select("_row", "shard", "slot", (begin - F.col("start")).alias("first"), length.alias("length"))
 
     def taken(self) -> DataFrame:
         """Each document's row key and the words that the mixture takes of it, repeats counted."""
@@ -194,7 +195,7 @@ def mix_sizes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", source
     """
     whole = df.select(doc_id, source, text)
     mix = plan_mix(spark, whole, word_count(whole[text]), doc_id=doc_id, source=source, tie=F.xxhash64(whole[text]), **options)
-    found = mix.docs.join(mix.taken(), "_row", "left")
+    found = mix.docs.hint("merge").join(mix.taken(), "_row", "left")
     return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -213,7 +214,7 @@ def mixed_documents(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id",
     mix = plan_mix(spark, whole, word_count(whole[text]), doc_id=doc_id, source=source, tie=tie, **options)
     copies = mix.pieces().groupBy("_row", "first", "length").agg(F.count("*").alias("copies"))
     by_row = copies.groupBy("_row").agg(F.collect_list(F.struct("first", "length", "copies")).alias("_pieces"))
-    wanted = mix.docs.join(by_row, "_row").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_pieces")
+    wanted = mix.docs.hint("merge").join(by_row, "_row").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_pieces")
     wanted = wanted.dropDuplicates(["_id", "_tie"])
     joined = whole.join(wanted.hint("shuffle_hash"), whole[doc_id].eqNullSafe(wanted["_id"]) & (tie == wanted["_tie"])).drop("_id", "_tie")
     columns = whole.columns
