@@ -193,6 +193,18 @@ def running_start(ws: Workspace, df: DataFrame, order: list[str], value: str, ou
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_pid", "_base")
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers: bounds both sides whatever the length of texts.
+BATCH_BYTES = 12 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` with batches bounded by bytes (a session setting, left alone where it is set); what a task's memory pool holds is given back at its end."""
+    if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
 
+    return df.mapInArrow(run, schema)
