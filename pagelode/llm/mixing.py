@@ -94,7 +94,7 @@ class Mix:
         return self.pieces().groupBy("_row").agg(F.sum("length").alias("taken"))
 
 
-def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, times: int = MOST_TIMES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", tie: Column | None = None, weight_of: dict | None = None) -> Mix:
+def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, times: int = MOST_TIMES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", tie: Column | None = None, weight_of: dict | None = None, key: Column | None = None) -> Mix:
     """Draw a mixture of sources near their target weights.
 
     Within a source, documents in order of doc_id are one stream of words, cut into
@@ -110,10 +110,11 @@ def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence
     The draws depend on the seed, the sources and their sizes alone: reruns agree.
     Sources by code point, null last, weigh ``weights`` in turn, or as ``weight_of``
     says.  A document without words is in no block.  Rows that repeat a doc_id follow
-    one another; ``tie`` orders them.  An empty table gives an empty mixture.
+    one another; ``tie`` orders them.  ``key`` is carried along as each row's ``key``.
+    An empty table gives an empty mixture.
     """
     ws = Workspace(spark, "mixing")
-    keep = df.select(df[doc_id].alias("doc_id"), df[source].cast("string").alias("source"), size.alias("size"), (tie if tie is not None else F.lit(0).cast("long")).alias("tie"))
+    keep = df.select(df[doc_id].alias("doc_id"), df[source].cast("string").alias("source"), size.alias("size"), (tie if tie is not None else F.lit(0).cast("long")).alias("tie"), *([key.alias("key")] if key is not None else []))
     sized = ws.cut(keep, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
@@ -207,18 +208,21 @@ def mixed_documents(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id",
 
     A row's text runs from its first word to the last before the next piece's, so
     whole documents come back as they are.  Rows are cut where a block that was not
-    taken in that pass lies between.  Documents without words are left out.
+    taken in that pass lies between.  Documents without words are left out.  Rows are
+    numbered once, with their texts, so those that repeat a doc_id and text each get
+    the blocks drawn for them.
     """
-    whole = df.select(*df.columns)
-    tie = F.xxhash64(whole[text])
-    mix = plan_mix(spark, whole, word_count(whole[text]), doc_id=doc_id, source=source, tie=tie, **options)
+    key = "_key"
+    while key in df.columns:
+        key += "_"
+    whole = Workspace(spark, "mixed").cut(df.withColumn(key, F.monotonically_increasing_id()), "texts")
+    mix = plan_mix(spark, whole, word_count(whole[text]), doc_id=doc_id, source=source, tie=F.xxhash64(whole[text]), key=whole[key], **options)
     copies = mix.pieces().groupBy("_row", "first", "length").agg(F.count("*").alias("copies"))
     by_row = copies.groupBy("_row").agg(F.collect_list(F.struct("first", "length", "copies")).alias("_pieces"))
-    wanted = mix.docs.hint("merge").join(by_row, "_row").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_pieces")
-    wanted = wanted.dropDuplicates(["_id", "_tie"])
-    joined = whole.join(wanted.hint("shuffle_hash"), whole[doc_id].eqNullSafe(wanted["_id"]) & (tie == wanted["_tie"])).drop("_id", "_tie")
-    columns = whole.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
+    wanted = mix.docs.hint("merge").join(by_row, "_row").select(F.col("key").alias(key), "_pieces")
+    joined = whole.join(wanted.hint("shuffle_hash"), key).drop(key)
+    columns = df.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

@@ -299,6 +299,21 @@ def test_mixing(spark):
     assert mixing.mix_sizes(spark, df.limit(0)).collect() == [] and mixing.mixed_documents(spark, df.limit(0)).collect() == []
 
 
+def test_mixing_repeated_rows(spark):
+    """Rows that repeat a doc_id and text each get their own blocks, whatever their sources."""
+    text = " ".join(f"w{i}" for i in range(160))
+    rows = [(d, text, "en", s, 0) for d in (1, None) for s in ("a", "b", "b", "b", None)] + [(7, "x " * 900, "en", "c", 0)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    wanted = Counter()
+    for x in mixing.mix_sizes(spark, df, block=8, shard=64).collect():
+        wanted[x.doc_id, x.source] += x.taken
+    found = Counter()
+    for m in mixing.mixed_documents(spark, df.withColumn("_key", F.lit("kept")), block=8, shard=64).collect():
+        assert m["_key"] == "kept"
+        found[m.doc_id, m.source] += len(WORD.findall(m.text))
+    assert +found == +wanted and found.total() > 0
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------------
 
 
