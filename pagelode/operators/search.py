@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,20 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Col
 
     queries: query_id, query (array); vectors: id, embedding and what ``where`` tests.
     The filter applies before ranking; with ``post_filter`` it is applied to the nearest
-    ``k * overfetch`` instead.  Up to ``most_queries`` queries, counted first, are
-    broadcast against all vectors; more are refused, as the work is their product.
+    ``k * overfetch`` instead.  Queries are counted first and dealt by query_id to blocks
+    of about ``most_queries``, each broadcast against all vectors: memory is that of a
+    block, the work the product of both tables.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"over {most_queries} queries; search in batches")
+    if most_queries < 1:
+        raise ValueError("a block holds one query or more")
+    blocks = -(-queries.count() // most_queries)
+    if blocks > 1:
+        of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        return reduce(DataFrame.unionAll, (_vector_block(queries.where(of == b), vectors, k, where, post_filter, overfetch) for b in range(blocks)))
+    return _vector_block(queries, vectors, k, where, post_filter, overfetch)
+
+
+def _vector_block(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None, post_filter: bool, overfetch: int) -> DataFrame:
     pool = vectors if where is None or post_filter else vectors.where(where)
     scored = pool.crossJoin(F.broadcast(queries)).withColumn("distance", squared_distance(F.col("query"), F.col("embedding")))
     order = [F.asc("distance"), F.asc("id")]

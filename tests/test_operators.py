@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,24 @@ def test_search(spark):
         search.hybrid_search(q, vectors, terms, lengths, docs, mode="odd")
 
 
+@pytest.mark.parametrize("post_filter", [None, False, True])
+def test_vector_search_in_blocks(spark, post_filter):
+    """Every row whose id is divisible by 20 against all rows, in blocks of queries, as by brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    table = rows.toPandas().sort_values("id")
+    ids, labels, points = table["id"].to_numpy(), table["label"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(float)
+    wanted = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        order = np.lexsort((ids, ((points - points[q]) ** 2).sum(axis=1)))
+        if post_filter is not None:
+            order = order[:25] if post_filter else order
+            order = order[labels[order] < 3]
+        wanted |= {(int(ids[q]), n): int(ids[at]) for n, at in enumerate(order[:5], 1)}
+    found = search.vector_search(asked, rows, 5, None if post_filter is None else F.col("label") < 3, bool(post_filter), most_queries=7).collect()
+    assert {(r.query_id, r["rank"]): r.id for r in found} == wanted and len(found) == len(wanted)
+
+
 def test_index_merge(spark):
     schema = "doc_id string, chunk string"
     index, added = spark.createDataFrame([("a", "1"), ("b", "2")], schema), spark.createDataFrame([("b", "3")], schema)
