@@ -363,6 +363,25 @@ def test_quality(spark):
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ") and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in found.items() if r.kept)
 
 
+def test_quality_keeps_long_clean_texts():
+    """Clean German texts of the sample joined to a megabyte, copies left out, are clean still."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    clean = set(pq.read_table("/root/testdata/sf0.1/labels.parquet", filters=[("quality", "=", 1)]).column("doc_id").to_pylist())
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"], filters=[("lang", "=", "de")]).sort_by("doc_id").to_pylist()
+    seen, texts = set(), []
+    for d in docs:
+        words = (d["text"] or "").lower().split()
+        grams = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        if d["doc_id"] in clean and len(grams & seen) <= 0.5 * len(grams):
+            seen |= grams
+            texts.append(d["text"])
+    long = " ".join(texts)
+    found = quality.measure(pa.array([long, "the same words over and over and not much else. " * 30000]))
+    assert len(long.encode()) > 1_000_000 and found["ratio"][0] > 2.8 and found["kept"].tolist() == [True, False]
+
+
 def test_quality_windows_cross_no_row():
     import pyarrow as pa
 
