@@ -43,13 +43,18 @@ def get_span(pages: DataFrame, blocks: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def neighbors(spans: DataFrame, pages: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The text up to ``window`` characters on either side of a span."""
-    joined = spans.join(pages.select("doc_id", "page", "markdown"), ["doc_id", "page"])
-    begin = F.greatest(F.col("start") - window, F.lit(0))
+    """The text up to ``window`` characters on either side of a span.
+
+    A null text is an empty one.  What lies beyond the text's end is cut off the
+    window; a span that ends beyond it has ``error`` besides.
+    """
+    joined = spans.join(pages.select("doc_id", "page", F.coalesce("markdown", F.lit("")).alias("markdown")), ["doc_id", "page"])
+    begin = F.least(F.greatest(F.col("start") - window, F.lit(0)), F.length("markdown"))
     end = F.least(F.col("end") + window, F.length("markdown"))
     return joined.select(
         "doc_id", "page", "start", "end", begin.alias("window_start"), end.alias("window_end"),
         F.substring(F.col("markdown"), begin + 1, F.col("start") - begin).alias("before"), F.substring(F.col("markdown"), F.col("end") + 1, end - F.col("end")).alias("after"),
+        F.when(F.col("end") > F.length("markdown"), "span beyond the page").alias("error"),
     )
 
 

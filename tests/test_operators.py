@@ -84,6 +84,18 @@ def chunks(text, size, overlap):
     return out
 
 
+def test_neighbors_beyond_the_text(spark):
+    texts = {"long": "ab" * 100, "ends": "ab" * 55, "near": "ab" * 40, "short": "ab", "empty": "", "null": None}
+    pages = spark.createDataFrame([(d, 1, t) for d, t in texts.items()], "doc_id string, page int, markdown string")
+    spans = pages.select("doc_id", "page", F.lit(100).alias("start"), F.lit(120).alias("end"))
+    found = {r.doc_id: r for r in navigator.neighbors(spans, pages, 50).collect()}
+    assert found.keys() == texts.keys()
+    for d, text in texts.items():
+        t, r = text or "", found[d]
+        assert (r.window_start, r.window_end, r.before, r.after) == (min(50, len(t)), min(170, len(t)), t[50:100], t[120:170])
+        assert r.error == ("span beyond the page" if len(t) < 120 else None)
+
+
 def test_chunks(spark):
     random.seed(3)
     texts = ["", "short", *("".join(random.choice(["word ", "end. ", "so! ", "why?\n", "x"]) for _ in range(n)) for n in (20, 60, 200))]
