@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six ASCII white-space characters; everything else belongs to a word.
 WHITE = " \t\n\x0b\x0c\r"
@@ -110,9 +112,78 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
 
+def named(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def text_column(df: DataFrame, column: str = "text") -> Column:
     """The column as a string, null as the empty text."""
-    return F.coalesce(df[column].cast("string"), F.lit(""))
+    return F.coalesce(named(df, column).cast("string"), F.lit(""))
+
+
+def rest_of(df: DataFrame, *left_out: str) -> Column:
+    """All other columns as one struct: whatever their names, they clash with none of an operator's own."""
+    names = [c for c in df.columns if c not in left_out]
+    return F.struct(*(named(df, c).alias(c) for c in names)) if names else F.struct(F.lit(0).alias("none"))
+
+
+def schema_of(*fields: tuple[str, str | T.DataType]) -> T.StructType:
+    out = T.StructType()
+    for name, kind in fields:
+        out.add(name, kind)
+    return out
+
+
+def whole_number(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def order_key(df: DataFrame, name: str) -> Column:
+    """A column to order rows by: whole numbers as they are, anything else by its text."""
+    return named(df, name).cast("long" if whole_number(df.schema[name].dataType) else "string")
+
+
+#: Keys that cut points are taken from: all, or beyond this number about as many, by their hash.
+KEYS_TAKEN = 100_000
+#: Bytes of a range partition: a 1024th of the input, within these bounds.
+LEAST_RANGE, MOST_RANGE = 16 << 20, 512 << 20
+
+
+def cut_points(keys: DataFrame, least: int = LEAST_RANGE, most: int = MOST_RANGE) -> list[tuple]:
+    """Points (key, tie) that cut rows (key, tie, bytes) into ranges of about equal bytes.
+
+    Their number follows from the bytes alone and the points from the rows alone, so
+    every run deals a table's rows alike, however they are partitioned.  A key in a
+    large share of the rows is cut by its ties.
+    """
+    whole = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    parts = -(-whole["bytes"] // min(max(whole["bytes"] >> 10, least), most))
+    if parts < 2:
+        return []
+    taken = keys.where(F.pmod(F.xxhash64("key", "tie"), F.lit(max(whole["n"] // KEYS_TAKEN, 1))) == 0)
+    rows = taken.groupBy("key", "tie").agg(F.sum("bytes").alias("bytes")).collect()
+    rows.sort(key=lambda r: (r["key"] is not None, r["key"].encode() if isinstance(r["key"], str) else r["key"], r["tie"]))
+    if not rows:
+        return []
+    upto = np.cumsum([r["bytes"] for r in rows])
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts, side="right"))
+    return [(rows[i]["key"], rows[i]["tie"]) for i in at if 0 < i < len(rows)]
+
+
+def range_of(key: Column, tie: Column, points: list[tuple], kind: str) -> Column:
+    """How many points are at or below (key, tie): a binary search in an array that is a constant of the plan."""
+    if not points:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps([{"key": k, "tie": t} for k, t in points])), f"array<struct<key:{kind},tie:bigint>>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(points).bit_length()))))
+    at = F.struct(key.alias("key"), tie.alias("tie"))
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= len(points)) & (F.get(table, i + s - 1) <= at), i + s).otherwise(i))
+
+
+def deal(rows: DataFrame, points: list[tuple], kind: str) -> DataFrame:
+    """Rows (key, tie, ...) in the ranges between the points, a partition each."""
+    return rows.repartitionById(len(points) + 1, range_of(F.col("key"), F.col("tie"), points, kind))
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -198,7 +269,7 @@ BATCH_BYTES = 12 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes (a session setting, left alone where it is set); what a task's memory pool holds is given back at its end."""
     if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
         df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))

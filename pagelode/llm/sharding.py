@@ -3,113 +3,85 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Workspace, text_column
+from pagelode.llm.common import Workspace, named, text_column
 
-#: A cut is placed to this fraction of a node's range, found in two histograms of the square root of it.
-STEPS = 1 << 32
-BINS = 1 << 16
+#: A cut is placed to 2^-32 of a node's range, a digit of eight bits a pass: no task gathers over 256 sums of a node.
+DIGIT, DIGITS = 8, 4
+STEPS = 1 << (DIGIT * DIGITS)
 #: Rows that one task numbers within a shard.
 ROWS_EACH = 4096
 OVERHEAD = 16
-
-
-@dataclass
-class Node:
-    """A node of the tree: a leaf, or a cut of one dimension between two nodes."""
-
-    leaves: int
-    number: int
-    dim: int = 0
-    low: float = 0.0
-    span: float = 1.0
-    cut: int = STEPS
-    children: tuple[Node, ...] = field(default=())
-
-
-def _small(spark: SparkSession, values: list[tuple], columns: str) -> DataFrame:
-    """A table of a few rows of numbers, planned as literals: no Python runs on the executors for it."""
-    names = [c.split() for c in columns.split(", ")]
-    rows = ", ".join("(" + ", ".join(f"CAST('{v!r}' AS {kind})" for v, (_, kind) in zip(row, names, strict=True)) + ")" for row in values)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(n for n, _ in names)})")
-
-
-def _meet(rows: DataFrame, values: list[tuple], columns: str) -> DataFrame:
-    """Rows with their node's values.  A broadcast of a row a node: at most as many as shards."""
-    return rows.join(F.broadcast(_small(rows.sparkSession, values, columns)), "node")
-
-
-def _along(nodes: list[Node]) -> tuple[list[tuple], str]:
-    return [(n.number, n.dim, n.low, n.span) for n in nodes], "node int, dim int, low double, span double"
+#: Categories and ids that are no numbers lie along a line of so many places, by their hash.
+PLACES = 1 << 20
 
 
 def _position(dims: list[str]) -> Column:
     """Where a row lies along its node's dimension, from 0 to STEPS - 1."""
-    x = F.element_at(F.array(*dims), F.col("dim") + 1)
+    x = F.element_at(F.array(*dims), F.col("dim"))
     return F.least(F.floor((x - F.col("low")) / F.col("span") * F.lit(float(STEPS))), F.lit(STEPS - 1)).cast("long")
 
 
-def _descend(rows: DataFrame, dims: list[str], level: list[Node]) -> DataFrame:
-    """Rows moved to their node's children; those in a leaf stay."""
-    values = [(n.number, n.dim, n.low, n.span, n.cut, n.children[0].number, n.children[1].number) for n in level]
-    cuts = _small(rows.sparkSession, values, "node int, dim int, low double, span double, cut long, left int, right int")
-    moved = F.when(F.col("dim").isNull(), F.col("node")).when(_position(dims) < F.col("cut"), F.col("left")).otherwise(F.col("right"))
-    return rows.join(F.broadcast(cuts), "node", "left").select(*[c for c in rows.columns if c != "node"], moved.alias("node"))
-
-
-def _cut_bin(binned: DataFrame, targets: dict[int, float]) -> dict[int, tuple[int, int, int]]:
-    """For each node the bin in which the running size passes its target: (bin, size before it, size in it)."""
-    sizes = binned.groupBy("node", "bin").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("node").orderBy("bin"))
-    passed = _meet(sizes.withColumn("upto", upto), list(targets.items()), "node int, target double").where("upto >= target")
-    first = passed.groupBy("node").agg(F.min(F.struct("bin", (F.col("upto") - F.col("size")).alias("before"), "size")).alias("at"))
-    return {r["node"]: (r["at"]["bin"], r["at"]["before"], r["at"]["size"]) for r in first.collect()}
-
-
-def kd_split(rows: DataFrame, dims: list[str], leaves: int, scale: list[float]) -> DataFrame:
+def _extents(placed: DataFrame, dims: list[str], scale: list[float]) -> DataFrame:
+    """For each node that is to be split its widest dimension, that dimension's range, and the size that goes left."""
+    found = placed.groupBy("first", "leaves").agg(F.sum("size").alias("size"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))))
+    width = F.array(*(F.col(f"max_{d}") - F.col(f"min_{d}") for d in dims))
+    relative = F.array(*((F.col(f"max_{d}") - F.col(f"min_{d}")) / F.lit(s) for d, s in zip(dims, scale, strict=True)))
+    widest = found.withColumn("dim", F.array_position(relative, F.array_max(relative)).cast("int"))
+    low = F.element_at(F.array(*(F.col(f"min_{d}") for d in dims)), F.col("dim"))
+    left = (F.floor(F.col("leaves") / 2) / F.col("leaves")) * F.col("size")
+    return widest.select("first", "leaves", "dim", low.alias("low"), F.element_at(width, F.col("dim")).alias("span"), left.alias("rest"), F.lit(0).cast("long").alias("prefix")).where("span > 0")
+
+
+def _next_digit(placed: DataFrame, dims: list[str], state: DataFrame, nth: int) -> DataFrame:
+    """The state with one more digit of each node's cut: of the rows that share its digits so far, the one in which the running size passes what is left of the aim."""
+    shift = DIGIT * (DIGITS - 1 - nth)
+    along = placed.join(state.drop("leaves"), "first").withColumn("position", _position(dims)).where(F.shiftright("position", shift + DIGIT) == F.col("prefix"))
+    keys = ["first", "dim", "low", "span", "rest", "prefix"]
+    sums = along.groupBy(*keys, F.shiftright("position", shift).alias("at")).agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("first").orderBy("at"))
+    passed = sums.withColumn("before", upto - F.col("size")).where(F.col("before") + F.col("size") >= F.col("rest"))
+    found = passed.groupBy(*keys).agg(F.min(F.struct("at", "before", "size")).alias("m")).withColumn("left_over", F.col("rest") - F.col("m.before"))
+    if nth < DIGITS - 1:
+        return found.select("first", F.lit(0).alias("leaves"), "dim", "low", "span", F.col("left_over").alias("rest"), F.col("m.at").alias("prefix"))
+    nearer = (F.col("left_over") > F.col("m.size") - F.col("left_over")).cast("long")  # the nearer side of the step
+    return found.select("first", "dim", "low", "span", (F.col("m.at") + nearer).alias("cut"))
+
+
+def kd_split(ws: Workspace, rows: DataFrame, dims: list[str], leaves: int, scale: list[float]) -> DataFrame:
     """Split until every leaf holds 1 / ``leaves`` of the size; rows with their leaf as ``shard``.
 
-    ``rows`` has ``size`` and the double columns ``dims``.  All nodes of a level are
-    split together in three passes: extents and sizes; a histogram along each node's
-    widest dimension (in units of ``scale``); a second one in the bin that the
-    weighted median falls in.  The driver gets a row per node, never more than shards.
+    ``rows`` has ``size`` and the double columns ``dims``.  A node is the run of leaves
+    that it will become: ``first`` and how many.  All nodes of a level are split
+    together: their extents, then the weighted median along each one's widest dimension
+    (in units of ``scale``), a digit of eight bits a pass.  Rows, nodes and cuts are
+    tables; each level and each pass is written and the one before removed, so no plan
+    holds more than a level.  Nothing is collected.  Rows meet nodes by a join that Spark
+    plans from the nodes table's size on disk: broadcast while it is small, sorted beyond.
     """
-    numbers = iter(range(1, 4 * leaves + 2))
-    root = Node(leaves, 0)
-    level, done = ([root], []) if leaves > 1 else ([], [root])
-    placed = rows.withColumn("node", F.lit(0))
-    while level:
-        extents = [f(d).alias(f"{n}_{i}") for i, d in enumerate(dims) for n, f in (("min", F.min), ("max", F.max))]
-        found = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("size"), *extents).collect()}
-        targets = {}
-        for n in level:
-            r = found.get(n.number)
-            width = [r[f"max_{i}"] - r[f"min_{i}"] if r else 0.0 for i in range(len(dims))]
-            n.dim = max(range(len(dims)), key=lambda i: width[i] / scale[i])
-            if width[n.dim] > 0:  # else one point or none: it all goes left
-                n.low, n.span = r[f"min_{n.dim}"], width[n.dim]
-                targets[n.number] = r["size"] * (n.leaves // 2) / n.leaves
-        split = [n for n in level if n.number in targets]
-        if split:
-            along = _meet(placed, *_along(split)).select("node", "size", _position(dims).alias("position"))
-            coarse = _cut_bin(along.select("node", "size", F.shiftrightunsigned("position", 16).alias("bin")), targets)
-            inside = _meet(along, [(k, v[0]) for k, v in coarse.items()], "node int, coarse long").where(F.shiftrightunsigned("position", 16) == F.col("coarse"))
-            rest = {k: t - coarse[k][1] for k, t in targets.items()}
-            fine = _cut_bin(inside.select("node", "size", F.pmod("position", F.lit(BINS)).alias("bin")), rest)
-            for n in split:
-                bin_, before, size = fine[n.number]
-                after = rest[n.number] - before > before + size - rest[n.number]  # the nearer side of the step
-                n.cut = coarse[n.number][0] * BINS + bin_ + after
-        for n in level:
-            n.children = (Node(n.leaves // 2, next(numbers)), Node(n.leaves - n.leaves // 2, next(numbers)))
-        placed = _descend(placed, dims, level)
-        below = [c for n in level for c in n.children]
-        level, done = [c for c in below if c.leaves > 1], done + [c for c in below if c.leaves == 1]
-    return _meet(placed, [(n.number, i) for i, n in enumerate(done)], "node int, shard int").drop("node")
+    placed = rows.withColumn("first", F.lit(0)).withColumn("leaves", F.lit(leaves))
+    for _ in range(math.ceil(math.log2(leaves)) if leaves > 1 else 0):
+        active = placed.where("leaves > 1")
+        state = ws.cut(_extents(active, dims, scale), "extents")
+        for nth in range(DIGITS):
+            state = ws.cut(_next_digit(active, dims, state, nth), "cuts")
+        known = placed.join(state, "first", "left")
+        half = F.floor(F.col("leaves") / 2).cast("int")
+        goes_left = F.col("cut").isNull() | (_position(dims) < F.col("cut"))  # a node of one point all goes left
+        split = F.col("leaves") > 1
+        moved = known.select(
+            *[c for c in placed.columns if c not in ("first", "leaves")],
+            F.when(split & ~goes_left, F.col("first") + half).otherwise(F.col("first")).alias("first"),
+            F.when(~split, F.col("leaves")).when(goes_left, half).otherwise(F.col("leaves") - half).alias("leaves"),
+        )
+        level = ws.cut(moved, "level")
+        if placed is not rows and placed.inputFiles() != rows.inputFiles():
+            ws.drop(placed)
+        placed = level
+    return placed.withColumn("shard", F.col("first")).drop("first", "leaves")
 
 
 def kd_shards(spark: SparkSession, df: DataFrame, shards: int | None = None, target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", categories: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -121,32 +93,42 @@ def kd_shards(spark: SparkSession, df: DataFrame, shards: int | None = None, tar
     table's extent, or at the weighted quantile that suits an odd number of leaves,
     until leaves reach ``target_bytes`` (or there are ``shards``).  Each coordinate
     has a fraction that depends on the document, so that even one source with all
-    rows is cut where the median asks; a shard is off by about a document.
-
-    Returns doc_id, size, text_crc32, law ('bytes'), shard and slot (gapless from 0 in
-    each shard).  Texts are read once; the passes read a narrow table of numbers.
-    Null text: size 16, crc32 0.  Null doc_id or category: a coordinate of its own.
-    Rows equal in doc_id and text share a shard.  An empty table gives no rows.
+    rows is cut where the median asks; a shard is off by about a document a level.
+
+    Returns doc_id (as it was), size, text_crc32, law ('bytes'), shard and slot (gapless
+    from 0 in each shard).  Texts are read once; the passes read a narrow table of numbers.
+    Null text: size 16, crc32 0.  An id that is no number, a null one and a category
+    have their place by hash.  Rows equal in doc_id and text are told apart by their
+    place in the table as read, so copies of one row spread over shards like any other
+    rows; which copy goes where may change with the input's partitions.  A text of any
+    length is one row of numbers.  An empty table gives no rows.  Further columns are not read.
     """
     ws = Workspace(spark, "sharding")
-    key = F.xxhash64(df[doc_id].cast("string"), text_column(df, text))
-    part = (F.pmod(key, F.lit(1 << 31)) / F.lit(float(1 << 31))).cast("double")
-    size = (F.octet_length(text_column(df, text)) + F.lit(OVERHEAD)).cast("long")
-    dims = {"d_doc": F.coalesce(df[doc_id].cast("double"), F.lit(-1.0)) + part, "d_size": size.cast("double") + part}
+    own_text = text_column(df, text)
+    size = (F.octet_length(own_text) + F.lit(OVERHEAD)).cast("long")
+    hashed = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(PLACES)).cast("double")
+    number = named(df, doc_id).cast("string").try_cast("double")
+    dims = {"d_doc": F.when(number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(math.inf)), hashed(named(df, doc_id))).otherwise(number), "d_size": size.cast("double")}
     for i, c in enumerate(c for c in categories if c in df.columns):
-        dims[f"d_{i}"] = F.pmod(F.xxhash64(df[c].cast("string")), F.lit(1 << 20)).cast("double") + part
-    base = ws.cut(df.select(df[doc_id].alias("doc_id"), size.alias("size"), F.crc32(F.encode(text_column(df, text), "UTF-8")).alias("text_crc32"), *(v.alias(k) for k, v in dims.items())))
-    whole = base.agg(F.count("*").alias("n"), F.sum("size").alias("size"), *(F.max(d) - F.min(d) for d in dims)).first()
+        dims[f"d_{i}"] = hashed(named(df, c))
+    crc, key = F.crc32(F.encode(own_text, "UTF-8")), F.xxhash64(named(df, doc_id).cast("string"), own_text)
+    base = ws.cut(df.select(named(df, doc_id).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *(v.alias(k) for k, v in dims.items())), "rows")
+    repeated = ws.cut(base.groupBy("key", "size").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"), "repeated")
+    own = F.col("key") if repeated.isEmpty() else F.when(F.col("again").isNull(), F.col("key")).otherwise(F.xxhash64("key", "row"))
+    told = base if repeated.isEmpty() else base.join(repeated.withColumn("again", F.lit(1)), ["key", "size"], "left")
+    part = F.pmod(own, F.lit(1 << 31)) / F.lit(float(1 << 31))
+    rows = ws.cut(told.select("doc_id", "size", "text_crc32", "row", *((F.col(d) + part).alias(d) for d in dims)), "points")
+    whole = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size"), *(F.max(d) - F.min(d) for d in dims)).first()
     if shards is None:
         shards = max(1, math.ceil((whole["size"] or 0) / (target_bytes or 128 << 20)))
     scale = [(whole[2 + i] or 0.0) or 1.0 for i in range(len(dims))]
-    leaves = kd_split(base, list(dims), shards if whole["n"] else 1, scale)
+    leaves = kd_split(ws, rows, list(dims), shards if whole["n"] else 1, scale)
     groups = max(1, math.ceil(whole["n"] / shards / ROWS_EACH))
-    dealt = leaves.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(groups)).alias("_group"))
-    before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("shard", "_group").agg(F.count("*").alias("_n"))
-    bases = counts.select("shard", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("shard", "_group").orderBy("doc_id", "text_crc32", "size")
-    return dealt.withColumn("_row", F.row_number().over(inside)).join(bases, ["shard", "_group"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_base") + F.col("_row") - 1).cast("long").alias("slot")
+    dealt = leaves.select("doc_id", "size", "text_crc32", "shard", "row", F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(groups)).alias("group"))
+    before = Window.partitionBy("shard").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("shard", "group").agg(F.count("*").alias("n"))
+    bases = counts.select("shard", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("shard", "group").orderBy("doc_id", "text_crc32", "size", "row")
+    return dealt.withColumn("place", F.row_number().over(inside)).join(bases, ["shard", "group"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place") - 1).cast("long").alias("slot")
     )

@@ -8,13 +8,14 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Workspace, arrow_map, byte_slices, open_fs, parallelism, write_file
+from pagelode.llm.common import Workspace, arrow_map, byte_slices, cut_points, deal, open_fs, order_key, text_column, whole_number, write_file
 
 #: Payloads below this many bytes are written again rather than referred to.
 LEAST_SHARED = 1000
@@ -46,17 +47,19 @@ def _record_id(key: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(hashlib.sha256(f'{key}/{digest}'.encode()).hexdigest()[:32])}>"
 
 
-def record(key: str, url: str, payload: bytes, date: str, refers_to: tuple[str, str] | None) -> bytes:
+def record(key: str | None, url: str, payload: bytes, date: str, refers_to: tuple[str, str] | None) -> bytes:
     """A response record, or a revisit of ``refers_to`` (key and URL of the response), with fresh headers and digests."""
     payload_hex, payload_digest = _sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {_record_id(key, payload_hex)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {_record_id(key or '', payload_hex)}", f"WARC-Date: {date}"]
     if url:
         head.append(f"WARC-Target-URI: {url}")
-    head += [f"WARC-Payload-Digest: {payload_digest}", f"WARC-Block-Digest: {_sha1(block)[1]}", f"X-Page-ID: {key}"]
+    head += [f"WARC-Payload-Digest: {payload_digest}", f"WARC-Block-Digest: {_sha1(block)[1]}"]
+    if key is not None:
+        head.append(f"X-Page-ID: {quote(key)}")
     if refers_to:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to[0], payload_hex)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to[0]}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to[0], payload_hex)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {quote(refers_to[0])}"]
         if refers_to[1]:
             head.append(f"WARC-Refers-To-Target-URI: {refers_to[1]}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -95,52 +98,66 @@ def write_warc(spark: SparkSession, df: DataFrame, folder: str | None = None, ro
     """Write one record per row, in order of page_id, and return the folder's URI.
 
     Of the rows with one payload of ``least_shared`` bytes or more, that with the
-    largest page_id is the response and the others revisit it; digests alone are
-    shuffled to find them, combined before the shuffle, so a payload in a third of the
-    pages is a row a task.  Pages and the notes of what they revisit are then
-    range-partitioned and sorted together, and each partition streams its records to
-    files that roll by compressed size.  Record ids, digests and headers depend on the
-    page alone, the date is given and gzip members carry no time: the same table and
-    partitions give the same bytes.  A file is renamed from a temporary name when
+    largest page_id is the response and the others revisit it.  One pass over the
+    payloads writes a narrow table of digests; the first record of each digest is
+    counted from it (combined before the shuffle) and written, so that the join that
+    finds the revisits stands on plain exchanges, whose skewed partitions Spark splits:
+    a payload in a third of the pages is many tasks.  Pages and the notes of what they
+    revisit are then dealt by cut points of (page_id, hash of the payload), sorted
+    together, and each range streams its records to files that roll by compressed size.
+
+    Cut points, order, record ids, digests and headers depend on the rows alone, the
+    date is given and gzip members carry no time: the same rows give the same bytes,
+    however they were partitioned.  A file is renamed from a temporary name when
     whole, a partition's manifest follows its files, and the folder's manifest, which
     names every file with its size and checksum, is written last.
 
-    A null payload is empty; a null URL leaves the target out; a null page_id is
-    written as an empty id, sorts first and revisits like any other (it is never a
-    response if another page has the payload).  Rows that repeat the largest page_id of
-    a payload are all responses.  An empty table gives a manifest without files.
-    Further columns are not read.
+    Whole-number ids are in order of number, others of their text; both come back as
+    they were.  A null payload is empty; a null URL leaves the target out; a null
+    page_id is written without an id, sorts first and revisits like any other (it is
+    never a response if another page has the payload).  Rows that repeat the largest
+    page_id of a payload are all responses.  An empty table gives a manifest without
+    files.  A payload of any length is one record, held whole by its task.  Further
+    columns are not read.  Without ``folder`` the archive lies in the run's workspace,
+    which is removed when the driver ends.
     """
-    folder = folder or Workspace(spark, "warc").mkdir("archive")
-    pages = df.select(df[page_id].cast("long").alias("page_id"), F.coalesce(df[url].cast("string"), F.lit("")).alias("url"), F.coalesce(df[payload].cast("string"), F.lit("")).alias("payload"))
-    body = F.encode("payload", "UTF-8")
-    digests = pages.where(F.octet_length("payload") >= least_shared).select("page_id", "url", F.sha1(body).alias("digest"))
-    first = digests.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("first")).where("n > 1")
-    notes = digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-    notes = notes.select("page_id", F.col("first.url").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", F.col("first.page_id").alias("refers_to")).distinct()
-    both = pages.select("page_id", "url", "payload", F.sha1(body).alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(notes)
-    key = ["page_id", "digest"]
-    placed = both.repartitionByRange(parallelism(spark), *key).sortWithinPartitions(*key, F.col("payload").isNotNull(), "url")
+    ws = Workspace(spark, "warc")
+    folder = folder or ws.mkdir("archive")
+    kind, sorted_as = df.schema[page_id].dataType, "bigint" if whole_number(df.schema[page_id].dataType) else "string"
+    pages = df.select(order_key(df, page_id).alias("key"), text_column(df, url).alias("url"), text_column(df, payload).alias("payload"))
+    tie, size = F.xxhash64("payload"), F.octet_length("payload").cast("long")
+    digests = ws.cut(pages.select("key", tie.alias("tie"), "url", size.alias("bytes"), F.when(size >= least_shared, F.sha1(F.encode("payload", "UTF-8"))).alias("digest")), "digests")
+    shared = digests.where(F.col("digest").isNotNull())
+    first = ws.cut(shared.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("key", "url")).alias("first")).where("n > 1"), "first")
+    notes = shared.join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first.key")))
+    notes = notes.select("key", "tie", F.col("first.url").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", F.col("first.key").cast("string").alias("refers_to"))
+    nothing = F.lit(None).cast("string")
+    both = pages.select("key", tie.alias("tie"), "url", "payload", nothing.alias("digest"), nothing.alias("refers_to")).unionByName(notes)
+    points = cut_points(digests.select("key", "tie", (F.col("bytes") + 64).alias("bytes")))
+    placed = deal(both, points, sorted_as).sortWithinPartitions("key", "tie", F.col("payload").isNotNull(), "url", "payload").select("key", "tie", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         roller = _Roller(folder, part, roll_bytes)
-        note: tuple = (None, None, None)
+        at, notes = None, {}  # notes stand before the page of their id and payload
         for whole in batches:
             for rows in byte_slices(whole, "payload", 8 << 20):
-                for page, link, html, digest, refers in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                    if html is None:  # a note stands before its page
-                        note = (page, digest, (str(refers), link))
+                for page, tie, link, html, digest, refers in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                    if at != (page, tie):
+                        at, notes = (page, tie), {}
+                    if html is None:
+                        notes[digest] = (refers, link)
                         continue
-                    target = note[2] if note[:2] == (page, digest) and note[2] else None
-                    roller.add(_member(record("" if page is None else str(page), _clean(link), html.encode(), date, target), level))
+                    body = html.encode()
+                    target = notes.get(hashlib.sha1(body).hexdigest()) if notes else None
+                    roller.add(_member(record(None if page is None else str(page), _clean(link), body, date, target), level))
         roller.close()
         if roller.done:
             write_file(f"{folder}/part-{part:06d}.manifest.json", [json.dumps(roller.done).encode()])
             yield pa.RecordBatch.from_pylist([{"part": part, **d} for d in roller.done], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())]))
 
-    files = arrow_map(placed, run, "part int, file string, bytes long, records long, sha256 string").sort("file").collect()
-    write_file(f"{folder}/{MANIFEST}", [json.dumps({"files": [r.asDict() for r in files]}).encode()])
+    files = arrow_map(placed, run, "part int, file string, bytes long, records long, sha256 string").sort("file").collect()  # a row a file
+    write_file(f"{folder}/{MANIFEST}", [json.dumps({"page_id": kind.simpleString(), "files": [r.asDict() for r in files]}).encode()])
     return folder
 
 
@@ -177,9 +194,10 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """
     store, path = open_fs(folder)
     with store.open_input_stream(f"{path}/{MANIFEST}") as f:
-        files = [(e["file"],) for e in json.loads(f.read())["files"]]
+        manifest = json.loads(f.read())
+    files = [(e["file"],) for e in manifest["files"]]
     names = spark.createDataFrame(files, "file string").repartition(max(len(files), 1), "file")
-    schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    schema = pa.schema([("page_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner, root = open_fs(folder)
@@ -198,9 +216,9 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                         if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"{name}: a payload does not match its digest")
                         size = next(int(line.split(b":")[1]) for line in http.split(CRLF) if line.lower().startswith(b"content-length:"))
-                        number = lambda k: int(headers[k]) if headers.get(k) else None  # noqa: B023, E731
+                        key = lambda k: unquote(headers[k]) if k in headers else None  # noqa: B023, E731
                         rows.append(
-                            {"page_id": number("x-page-id"), "record_type": headers["warc-type"], "url": headers.get("warc-target-uri"), "refers_to": number("x-refers-to-page-id"), "payload": None if revisit else payload.decode(), "payload_bytes": size, "payload_digest": digest}
+                            {"page_id": key("x-page-id"), "record_type": headers["warc-type"], "url": headers.get("warc-target-uri"), "refers_to": key("x-refers-to-page-id"), "payload": None if revisit else payload.decode(), "payload_bytes": size, "payload_digest": digest}
                         )
                         held += len(block)
                         if held > 8 << 20:
@@ -209,6 +227,5 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return arrow_map(names, run, "page_id long, record_type string, url string, refers_to long, payload string, payload_bytes long, payload_digest string")
-
-
+    found = arrow_map(names, run, "page_id string, record_type string, url string, refers_to string, payload string, payload_bytes long, payload_digest string")
+    return found.withColumn("page_id", F.col("page_id").cast(manifest["page_id"])).withColumn("refers_to", F.col("refers_to").cast(manifest["page_id"]))
