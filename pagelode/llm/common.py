@@ -131,7 +131,7 @@ def rest_of(df: DataFrame, *left_out: str) -> Column:
 def schema_of(*fields: tuple[str, str | T.DataType]) -> T.StructType:
     out = T.StructType()
     for name, kind in fields:
-        out.add(name, kind)
+        out.add(name, T.DataType.fromDDL(kind) if isinstance(kind, str) else kind)
     return out
 
 
@@ -236,17 +236,22 @@ def gather_ranges(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return flat[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def running_start(ws: Workspace, df: DataFrame, order: list[str], value: str, out: str = "start", group: list[str] | None = None) -> DataFrame:
+#: Narrow rows of a range partition.
+RANGE_ROWS = 2_000_000
+
+
+def running_start(ws: Workspace, df: DataFrame, order: list[str], value: str, out: str = "start", group: list[str] | None = None, rows: int = 0) -> DataFrame:
     """Add the exclusive running total of ``value`` in ``order`` (within ``group``).
 
     Two passes: rows are range-partitioned and written with their partition's
     number; partition totals are prefix-summed (as many rows as partitions and
     groups); each partition then sums on from its base.  No task sees more than a
     partition.  ``order`` should be a total order; rows that tie in all its columns
-    take places in an order that a rerun may change.
+    take places in an order that a rerun may change.  ``rows``, about how many there
+    are, bounds a partition where the session's number of partitions would not.
     """
     group = group or []
-    placed = ws.cut(df.repartitionByRange(parallelism(ws.spark), *group, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    placed = ws.cut(df.repartitionByRange(max(parallelism(ws.spark), -(-rows // RANGE_ROWS)), *group, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
     totals = placed.groupBy(*group, "_pid").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*group or [F.lit(0)]).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*group, "_pid", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))

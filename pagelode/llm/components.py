@@ -16,25 +16,29 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Each node of the edges (u, v) with ``label``, the smallest node of its component.
 
+    Loops and repeated edges count nothing; without edges there are no rows.
+
     A large star hangs a node's larger neighbours on its smallest one, a small star
     the smaller ones; the two alternate until nothing moves, in about as many rounds
     as the logarithm of the largest component.  Each round's edges are written to the
-    shared folder, and the round before is removed.  All is in joins and combining
-    aggregates, so a node with many edges is split like any skewed join key; nothing
-    is collected but two numbers a round.
+    shared folder, and the round before is removed.  Smallest neighbours are written
+    before the edges meet them, so both joins stand on plain exchanges and Spark splits
+    a node with many edges like any skewed key; nothing is collected but two numbers a
+    round.
     """
     edges = ws.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["node"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node")
-        hung = large.join(least, large["u"] == least["node"])
+        least = ws.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")), "least")
+        large = ws.cut(both.join(least, both["u"] == least["node"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        smaller = ws.cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node"), "least")
+        hung = large.join(smaller, large["u"] == smaller["node"])
         small = hung.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = ws.cut(small.where("u <> v").distinct(), "edges")
         state = _state(after)
-        ws.drop(edges)
+        for old in (edges, least, large, smaller):
+            ws.drop(old)
         edges = after
         if state == before:
             break

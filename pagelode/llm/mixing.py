@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import WORD, Workspace, arrow_map, running_start
+from pagelode.llm.common import WORD, Workspace, arrow_map, named, rest_of, running_start, schema_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -94,7 +94,7 @@ class Mix:
         return self.pieces().groupBy("_row").agg(F.sum("length").alias("taken"))
 
 
-def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, times: int = MOST_TIMES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", tie: Column | None = None, weight_of: dict | None = None, key: Column | None = None) -> Mix:
+def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, times: int = MOST_TIMES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", tie: Column | None = None, then: Column | None = None, weight_of: dict | None = None, key: Column | None = None) -> Mix:
     """Draw a mixture of sources near their target weights.
 
     Within a source, documents in order of doc_id are one stream of words, cut into
@@ -110,13 +110,14 @@ def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence
     The draws depend on the seed, the sources and their sizes alone: reruns agree.
     Sources by code point, null last, weigh ``weights`` in turn, or as ``weight_of``
     says.  A document without words is in no block.  Rows that repeat a doc_id follow
-    one another; ``tie`` orders them.  ``key`` is carried along as each row's ``key``.
+    one another; ``tie`` and ``then`` order them.  ``key`` is carried along as each row's ``key``.
     An empty table gives an empty mixture.
     """
     ws = Workspace(spark, "mixing")
-    keep = df.select(df[doc_id].alias("doc_id"), df[source].cast("string").alias("source"), size.alias("size"), (tie if tie is not None else F.lit(0).cast("long")).alias("tie"), *([key.alias("key")] if key is not None else []))
+    nothing = F.lit(0).cast("long")
+    keep = df.select(named(df, doc_id).alias("doc_id"), named(df, source).cast("string").alias("source"), size.alias("size"), (nothing if tie is None else tie).alias("tie"), (nothing if then is None else then).alias("then"), *([key.alias("key")] if key is not None else []))
     sized = ws.cut(keep, "sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources; mix by a coarser column")
     sums = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
@@ -130,7 +131,7 @@ def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence
         "number int, _source string, source_size long, target double, n_blocks long",
     )  # a row per source
     numbered = sized.join(known, sized["source"].eqNullSafe(known["_source"])).drop("_source")
-    placed = running_start(ws, numbered, ["doc_id", "tie", "size"], "size", group=["number"])
+    placed = running_start(ws, numbered, ["doc_id", "tie", "size", "then"], "size", group=["number"], rows=sum(r["rows"] for r in sums))
     docs = ws.cut(placed.withColumn("_row", F.monotonically_increasing_id()), "places")
 
     total = sum(quota)
@@ -149,9 +150,9 @@ def plan_mix(spark: SparkSession, df: DataFrame, size: Column, weights: Sequence
         slots = spark.createDataFrame([], "number int, block long, shard long, slot long")
         return Mix(docs, slots, block, docs.columns)
     draws = ws.cut(arrow_map(spark.range(n_shards).withColumnRenamed("id", "shard"), draw, "shard long, number int, n long"), "draws")
-    before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     in_shard = Window.partitionBy("shard").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    runs = draws.select("shard", "number", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("place"))
+    placed_draws = draws.withColumn("place", F.coalesce(F.sum("n").over(in_shard), F.lit(0)))
+    runs = running_start(ws, placed_draws, ["shard"], "n", out="first", group=["number"], rows=n_shards * len(sums))
     drawn = {r["number"]: r["n"] for r in draws.groupBy("number").agg(F.sum("n").alias("n")).collect()}
     # Slots that a source was dealt beyond its quota, in order of source, pass to the sources that lack some, in order.
     spare = np.cumsum([0, *(max(drawn.get(i, 0) - q, 0) for i, q in enumerate(quota))])
@@ -194,8 +195,8 @@ def mix_sizes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", source
 
     A null text has size 0; null sources are a source of their own.
     """
-    whole = df.select(doc_id, source, text)
-    mix = plan_mix(spark, whole, word_count(whole[text]), doc_id=doc_id, source=source, tie=F.xxhash64(whole[text]), **options)
+    whole = df.select(named(df, doc_id).alias("doc_id"), named(df, source).alias("source"), named(df, text).cast("string").alias("text"))
+    mix = plan_mix(spark, whole, word_count(whole["text"]), tie=F.xxhash64("text"), **options)
     found = mix.docs.hint("merge").join(mix.taken(), "_row", "left")
     return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
@@ -208,26 +209,24 @@ def mixed_documents(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id",
 
     A row's text runs from its first word to the last before the next piece's, so
     whole documents come back as they are.  Rows are cut where a block that was not
-    taken in that pass lies between.  Documents without words are left out.  Rows are
-    numbered once, with their texts, so those that repeat a doc_id and text each get
-    the blocks drawn for them.
+    taken in that pass lies between.  Documents without words are left out, null texts
+    among them.  Rows are numbered once, with their texts, so those that repeat a doc_id
+    and text each get the blocks drawn for them; their other columns order them.
+    Columns may have any name.  An empty table gives no rows.
     """
-    key = "_key"
-    while key in df.columns:
-        key += "_"
-    whole = Workspace(spark, "mixed").cut(df.withColumn(key, F.monotonically_increasing_id()), "texts")
-    mix = plan_mix(spark, whole, word_count(whole[text]), doc_id=doc_id, source=source, tie=F.xxhash64(whole[text]), key=whole[key], **options)
+    own = F.struct(*(named(df, c) for c in df.columns))
+    whole = df.select(F.monotonically_increasing_id().alias("key"), named(df, doc_id).alias("doc_id"), named(df, source).alias("source"), named(df, text).cast("string").alias("text"), rest_of(df, text).alias("rest"), F.xxhash64(F.to_json(own)).alias("then"))
+    whole = Workspace(spark, "mixed").cut(whole, "texts")
+    mix = plan_mix(spark, whole, word_count(whole["text"]), tie=F.xxhash64("text"), then=F.col("then"), key=F.col("key"), **options)
     copies = mix.pieces().groupBy("_row", "first", "length").agg(F.count("*").alias("copies"))
-    by_row = copies.groupBy("_row").agg(F.collect_list(F.struct("first", "length", "copies")).alias("_pieces"))
-    wanted = mix.docs.hint("merge").join(by_row, "_row").select(F.col("key").alias(key), "_pieces")
-    joined = whole.join(wanted.hint("shuffle_hash"), key).drop(key)
-    columns = df.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    by_row = copies.groupBy("_row").agg(F.collect_list(F.struct("first", "length", "copies")).alias("pieces"))
+    wanted = mix.docs.hint("merge").join(by_row, "_row").select("key", "pieces")
+    joined = whole.join(wanted.hint("shuffle_hash"), "key").select("text", "rest", "pieces")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             source_rows, texts = [], []
-            for i, (value, pieces) in enumerate(zip(rows.column(text).to_pylist(), rows.column("_pieces").to_pylist(), strict=True)):
+            for i, (value, pieces) in enumerate(zip(rows.column("text").to_pylist(), rows.column("pieces").to_pylist(), strict=True)):
                 starts = [m.start() for m in _WORD.finditer(value)]
                 order = sorted((p["first"], p["length"], p["copies"]) for p in pieces)
                 for turn in range(max(p[2] for p in order)):
@@ -250,7 +249,7 @@ def mixed_documents(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id",
             yield _batch(rows, source_rows, texts)
 
     def _batch(rows: pa.RecordBatch, source_rows: list[int], texts: list[str]) -> pa.RecordBatch:
-        at = pa.array(source_rows, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else rows.column(c).take(at) for c in columns], names=columns)
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), rows.column("rest").take(pa.array(source_rows, pa.int64()))], names=["text", "rest"])
 
-    return arrow_map(joined, cut, fields)
+    found = arrow_map(joined, cut, schema_of(("text", "string"), ("rest", joined.schema["rest"].dataType)))
+    return found.select(*(F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns))

@@ -11,11 +11,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, text_column
+from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, named, schema_of, text_column
 from pagelode.llm.tokens import END_ID, default_vocabulary, encoder, id_type
 
 LENGTH = 4096
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def encoded_table(ws: Workspace, docs: DataFrame, vocabulary: str, end: int | None) -> DataFrame:
@@ -39,7 +38,8 @@ def encoded_table(ws: Workspace, docs: DataFrame, vocabulary: str, end: int | No
                 )
                 before += int(edges[-1])
 
-    return ws.cut(arrow_map(docs, run, "doc_id long, part int, before long, n_tokens long, ids binary"), "encoded")
+    kept = docs.schema["doc_id"].dataType
+    return ws.cut(arrow_map(docs, run, schema_of(("doc_id", kept), ("part", "int"), ("before", "long"), ("n_tokens", "long"), ("ids", "binary"))), "encoded")
 
 
 def pack(spark: SparkSession, df: DataFrame, length: int = LENGTH, vocabulary: str | None = None, end: int | None = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,17 +50,18 @@ def pack(spark: SparkSession, df: DataFrame, length: int = LENGTH, vocabulary: s
     cuts, without a shuffle, so no key can be hot.  A document over a cut is a
     boundary record in each sequence it touches.  Only the last sequence is short.
 
-    Returns one row per piece: doc_id, start (the document's ids before the piece),
+    Returns one row per piece: doc_id (of any type, as it was), start (the document's ids before the piece),
     length, doc_tokens, sequence_id, offset (in the sequence) and ids (little-endian
     unsigned 32-bit).  Documents keep the order of the input's partitions.  Null and
     empty texts are the end id alone; rows that repeat a doc_id are documents of
     their own; a null doc_id stays null; an empty table gives no rows; further
-    columns are not read.  Without an end id a document without ids has no piece.
+    columns are not read.  A text of any length is encoded whole, alone in its slice.
+    ``vocabulary`` is any tokenizers file.  Without an end id a document without ids has no piece.
     """
     vocabulary = vocabulary or default_vocabulary()
     ws = Workspace(spark, "packing")
     kind = id_type(vocabulary)
-    table = encoded_table(ws, df.select(df[doc_id].cast("long").alias("doc_id"), text_column(df, text).alias("text")), vocabulary, end)
+    table = encoded_table(ws, df.select(named(df, doc_id).alias("doc_id"), text_column(df, text).alias("text")), vocabulary, end)
     totals = dict(table.groupBy("part").agg(F.sum("n_tokens")).collect())
     parts = sorted(totals)
     base = dict(zip(parts, accumulate((totals[p] for p in parts), initial=0), strict=False))
@@ -89,4 +90,5 @@ def pack(spark: SparkSession, df: DataFrame, length: int = LENGTH, vocabulary: s
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
-    return arrow_map(table, run, PIECES)
+    pieces = schema_of(("doc_id", df.schema[doc_id].dataType), ("start", "long"), ("length", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("ids", "binary"))
+    return arrow_map(table, run, pieces)

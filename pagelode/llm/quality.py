@@ -9,8 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pagelode.llm.common import arrow_map, bounds, byte_slices, row_sums, split_words
+from pagelode.llm.common import arrow_map, bounds, byte_slices, named, rest_of, row_sums, schema_of, split_words
 
 #: Accepted ratio (bytes / compressed bytes) by length in bytes: (up to, least, most).  Set on labelled clean prose
 #: of the sample tables with room on either side; a short text shows little of its redundancy, so its band is wider.
@@ -100,10 +101,10 @@ def measure(texts: pa.Array, bands: tuple = BANDS, chunk: int = CHUNK, chunk_ban
         if a == b:
             continue
         whole[i] = (b - a) / len(squeeze(view[a:b]))
-        chunks[i] = (b - a) // chunk
-        if chunks[i]:
-            ratios = (chunk / len(squeeze(view[k : k + chunk])) for k in range(a, b - chunk + 1, chunk))
-            outside[i] = sum(not chunk_band[0] <= r <= chunk_band[1] for r in ratios)
+        if b - a >= chunk:
+            begins = [*range(a, b - chunk + 1, chunk), *([b - chunk] if (b - a) % chunk else [])]  # the last full chunk ends where the text does
+            chunks[i] = len(begins)
+            outside[i] = sum(not chunk_band[0] <= chunk / len(squeeze(view[k : k + chunk])) <= chunk_band[1] for k in begins)
     band = np.searchsorted([b[0] for b in bands], sizes)
     least, most = np.array([b[1] for b in bands])[band], np.array([b[2] for b in bands])[band]
     repeat = _windows(codes, bounds(counts), WINDOW)
@@ -130,30 +131,32 @@ def compression_bands(df: DataFrame, text: str = "text", bands: tuple = BANDS, c
     its words lie in five-word windows that recur in it.  Of the others one is
     rejected if the zstandard ratio of the whole text lies outside the band for its
     length (above: repetitive or tabular; below: incompressible), or if over half of
-    its full ``chunk``-byte chunks lie outside ``chunk_band``.  Chunks see what a long
-    text's average hides.
+    its ``chunk``-byte chunks lie outside ``chunk_band``: full chunks from the start on,
+    and a last one that ends with the text, so every byte of a long text is in one.
+    Chunks see what a long text's average hides.
 
     Returns ``keep_columns`` (default: all but the text) and the measures; with
     ``only_kept`` the rows that stay, in the input's columns.  A narrow stage: no
-    shuffle, memory bounded by a slice of text.  Null and empty texts: no words,
-    ratio 0, base_failed.  Repeated rows are judged alike, each returned.  Columns of
-    ``df`` named like a measure are left out of the measured result.
+    shuffle, memory bounded by a slice of text, or by a text that is longer.  Null and
+    empty texts: no words, ratio 0, base_failed.  Repeated rows are judged alike, each
+    returned.  An empty table gives no rows.  Columns may have any name; those of ``df``
+    named like a measure are left out of the measured result.
     """
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    if only_kept:
-        fields, columns = "", df.columns
-    else:
-        fields, columns = FIELDS, [c for c in (keep_columns if keep_columns is not None else df.columns) if c not in {text, *names}]
-    used = df.select(*dict.fromkeys([*columns, text]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema if f.name in columns), *([fields] if fields else [])])
+    columns = df.columns if only_kept else [c for c in (keep_columns if keep_columns is not None else df.columns) if c.lower() not in {text.lower(), *names}]
+    rest = [c for c in columns if c != text]
+    used = df.select(named(df, text).cast("string").alias("text"), rest_of(df, *(c for c in df.columns if c not in rest)).alias("rest"))
+    kept = [("rest", used.schema["rest"].dataType)]
+    measures = [tuple(f.split()) for f in FIELDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in byte_slices(whole, text, 8 << 20):
-                found = measure(part.column(text).cast(pa.string()), bands, chunk, chunk_band, level)
+            for part in byte_slices(whole, "text", 8 << 20):
+                found = measure(part.column("text").cast(pa.string()), bands, chunk, chunk_band, level)
                 if only_kept:
                     yield part.filter(pa.array(found["kept"]))
                 else:
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(pa.array(found[k]) for k in names)], names=[*columns, *names])
+                    yield pa.RecordBatch.from_arrays([part.column("rest"), *(pa.array(found[k]) for k in names)], names=["rest", *names])
 
-    return arrow_map(used, run, schema)
+    found = arrow_map(used, run, schema_of(("text", "string"), *kept) if only_kept else schema_of(*kept, *measures))
+    return found.select(*(F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in columns), *([] if only_kept else names))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, text_column
+from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, named, schema_of, text_column
 from pagelode.llm.components import connected_components
 
 SHINGLE = 3
@@ -136,23 +138,34 @@ def trie_links(values: np.ndarray, own: int, depth: int, errors: int = ERRORS) -
     return forest.label
 
 
-def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, errors: int = ERRORS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _redealt(dealt: DataFrame, depth: int, deeper: int, errors: int) -> DataFrame:
+    """Members (fp, node) of nodes at ``depth`` dealt to the nodes' children at ``deeper``: a fingerprint goes to each child within the budget that is not after its own."""
+    own = F.shiftrightunsigned("fp", BITS - deeper)
+    children = F.transform(F.sequence(F.lit(0), F.lit((1 << (deeper - depth)) - 1)), lambda c: F.shiftleft("node", deeper - depth).bitwiseOR(c.cast("long")))
+    return dealt.select("fp", F.explode(F.filter(children, lambda n: (F.bit_count(own.bitwiseXOR(n)) <= errors) & (n <= own))).alias("node"))
+
+
+def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, errors: int = ERRORS, doc_id: str = "doc_id", text: str = "text", node_size: int = NODE_SIZE) -> DataFrame:
     """Fingerprint whole texts and link those within ``errors`` bits; each document with its component.
 
     Equal fingerprints are one node from the start, so a group of copies of any size
     is one row.  The trie of distinct fingerprints is cut at a depth that suits their
-    number; each subtree is walked by a task together with the subtrees whose prefix
-    differs in at most ``errors`` bits, each pair of subtrees once.  A task hands on a
+    number; each subtree is walked by a task together with the members of subtrees whose
+    prefix differs in at most ``errors`` bits, each pair of subtrees once.  A subtree
+    that holds over ``node_size`` members, because fingerprints crowd under its prefix,
+    is dealt on to its descendants six bits below, and so on.  A task hands on a
     forest of the links it found, at most one a fingerprint, which keeps every link's
-    reach.  The forests are joined by ``connected_components``.
-
-    Returns doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id
-    reachable).  Null and empty texts and texts without words have fingerprint zero
-    and are linked like any other.  Rows that repeat a doc_id are each returned.  A
-    null doc_id is never a smallest one unless its component has no other.
+    reach.  The forests are joined by ``connected_components``.  ``errors`` may be any
+    number; the copies of a fingerprint that are dealt, and so the work, grow with the
+    ways to place them in the cut's depth.
+
+    Returns doc_id (of any type, as it was), fingerprint (16 hex digits) and component_id
+    (the smallest doc_id reachable).  Null and empty texts and texts without words have
+    fingerprint zero and are linked like any other.  A text of any length is
+    fingerprinted whole.  Rows that repeat a doc_id are each returned.  A null doc_id is
+    never a smallest one unless its component has no other.  An empty table gives no
+    rows.  Further columns are not read.
     """
-    if not 0 <= errors <= 2:
-        raise ValueError("the cut trie deals out prefixes within 0 to 2 bits")
     ws = Workspace(spark, "simhash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,25 +174,48 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, er
                 found = fingerprints(rows.column("text").cast(pa.binary()).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    docs = ws.cut(arrow_map(df.select(df[doc_id].cast("long").alias("doc_id"), text_column(df, text).alias("text")), run, "doc_id long, fp long"), "fingerprints")
+    kind = df.schema[doc_id].dataType
+    docs = ws.cut(arrow_map(df.select(named(df, doc_id).alias("doc_id"), text_column(df, text).alias("text")), run, schema_of(("doc_id", kind), ("fp", "long"))), "fingerprints")
     classes = ws.cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    depth = min(max(math.ceil(math.log2(max(classes.count() / NODE_SIZE, 1))), 5), 16)
-    masks = [0, *(1 << i for i in range(depth) if errors > 0), *((1 << i) | (1 << j) for i in range(depth) for j in range(i) if errors > 1)]
+    depth = min(max(math.ceil(math.log2(max(classes.count() / node_size, 1))), 5), 16)
+    masks = [sum(1 << i for i in bits) for k in range(min(errors, depth) + 1) for bits in combinations(range(depth), k)]
     prefix = F.shiftrightunsigned("fp", BITS - depth)
     nodes = F.filter(F.transform(F.array(*map(F.lit, masks)), lambda m: prefix.bitwiseXOR(m.cast("long"))), lambda q: q <= prefix)
     dealt = classes.select("fp", F.explode(nodes).alias("node"))
 
-    def walk(table: pa.Table) -> pa.Table:
-        node = table.column("node")[0].as_py()
-        values = np.sort(table.column("fp").combine_chunks().to_numpy().view(np.uint64))
-        label = trie_links(values, node, depth, errors)
-        linked = np.flatnonzero(label != np.arange(len(values)))
-        return pa.table({"u": values[linked].view(np.int64), "v": values[label[linked]].view(np.int64)})
-
-    links = dealt.groupBy("node").applyInArrow(walk, "u long, v long")
-    labels = connected_components(ws, links)
-    joined = classes.join(labels, classes["fp"] == labels["node"])
-    least = joined.groupBy("label").agg(F.min("least").alias("component"))
-    moved = joined.join(least, "label").select("fp", "component")
-    classes = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return docs.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    def walker(depth: int) -> Callable[[pa.Table], pa.Table]:
+        def walk(table: pa.Table) -> pa.Table:
+            node = table.column("node")[0].as_py()
+            values = np.sort(table.column("fp").combine_chunks().to_numpy().view(np.uint64))
+            label = trie_links(values, node, depth, errors)
+            linked = np.flatnonzero(label != np.arange(len(values)))
+            return pa.table({"u": values[linked].view(np.int64), "v": values[label[linked]].view(np.int64)})
+
+        return walk
+
+    found = []
+    while True:
+        crowded = ws.cut(dealt.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 4 * node_size).select("node"), "crowded")
+        last = depth > BITS - 6 or crowded.isEmpty()
+        walked = dealt if last else dealt.join(crowded, "node", "left_anti")
+        found.append(ws.cut(walked.groupBy("node").applyInArrow(walker(depth), "u long, v long"), "links"))
+        if last:
+            break
+        dealt = ws.cut(_redealt(dealt.join(crowded, "node", "left_semi"), depth, depth + 6, errors), "dealt")
+        depth += 6
+    return component_of(ws, docs, classes, reduce(DataFrame.union, found)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def component_of(ws: Workspace, docs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Documents (doc_id, fp) with component_id: the least doc_id of all classes (fp, least) that links (u, v) join theirs to.
+
+    Every table is written before it is joined, so that joins stand on plain exchanges,
+    whose skewed partitions Spark splits: a class with a third of the documents, or a
+    component with a third of the classes, is many tasks.
+    """
+    labels = ws.cut(connected_components(ws, links), "labels")
+    linked = ws.cut(classes.join(labels, classes["fp"] == labels["node"]).select("fp", "least", "label"), "linked")
+    least = ws.cut(linked.groupBy("label").agg(F.min("least").alias("component")), "least")
+    moved = ws.cut(linked.join(least, "label").select("fp", "component"), "moved")
+    known = ws.cut(classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "components")
+    return docs.join(known, "fp")

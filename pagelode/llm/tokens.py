@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -15,6 +16,8 @@ END_ID = 2
 _PLAIN = "^[a-zß-öø-ÿ]+[!?.,;:*%#$&\"()]*$"
 _MARKS = "!?.,;:*%#$&\"()"
 _SAFE = "^[!-~À-ÖØ-öø-ÿ]+$"
+#: Fixed value: the pattern by which the default vocabulary cuts.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces a worker remembers before it starts over; about 40 bytes each.
 REMEMBERED = 1_000_000
 
@@ -25,8 +28,45 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def drops_white_space(path: str) -> bool:
+    """Whether a tokenizers file cuts texts so that no piece holds or looks across white space.
+
+    Then a text's ids are its words' ids.  Known by the file itself: it normalizes
+    character by character or makes one blank of white space, keeps nothing but the
+    matches of the pattern that cuts at white space, and adds no token that takes
+    blanks in.  Any other file is taken to depend on white space.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = lambda part, key: [] if part is None else part[key] if part["type"] == "Sequence" else [part]
+    normal = steps(file.get("normalizer"), "normalizers")
+    plain = all(n["type"] in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for n in normal)
+    cuts = steps(file.get("pre_tokenizer"), "pretokenizers")
+    cut = cuts[0] if cuts else {}
+    at_space = cut.get("type") == "WhitespaceSplit" or (cut.get("type") == "Split" and cut.get("pattern") == {"Regex": _CUT} and cut.get("behavior") == "Removed" and cut.get("invert") is True)
+    added = file.get("added_tokens") or []
+    model = file.get("model", {})
+    return plain and at_space and model.get("type") == "BPE" and not file.get("truncation") and not any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in added)
+
+
+class TextEncoder:
+    """Encodes whole texts with any tokenizers file."""
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, each followed by ``end``, and where each text's begin and end.  Null is an empty text."""
+        found = [e.ids if end is None else [*e.ids, end] for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+        edges = bounds(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(edges[-1])), edges
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file that drops white space between words.
+    """Encodes texts with a tokenizers file that drops white space between words (see ``drops_white_space``).
 
     The tokenizer splits at white space before anything else crosses it, so a text's
     ids are its words' ids in order.  Distinct words are therefore encoded once and
@@ -123,13 +163,13 @@ class WordEncoder:
         return ids.astype(np.uint32, copy=False), edges
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, TextEncoder | WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder of a file; workers outlive tasks, so what it learnt is used again."""
+def encoder(path: str) -> TextEncoder | WordEncoder:
+    """This worker's encoder of a file, by words where the file allows it; workers outlive tasks, so what it learnt is used again."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path) if drops_white_space(path) else TextEncoder(path)
     return _encoders[path]
 
 
@@ -137,4 +177,3 @@ def id_type(path: str) -> np.dtype:
     """The smallest little-endian unsigned type that holds a vocabulary's ids."""
     size = encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
-
