@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,15 @@ IMAGE = r"!\[([^\]]*)\]\(([^\)]+)\)"
 CAPTION = r"(?i)\b(Figure\s+\d+|Fig\.\s*\d+|Table\s+\d+|Diagram\s+\d+|Chart\s+\d+)"
 
 
+#: White space beyond the six ASCII characters, as a class of Java's and RE2's patterns.
+UNICODE_SPACES = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words between Unicode white space; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda t: t != "")
+    space = r"[\s" + UNICODE_SPACES[1:] + "+"
+    trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"^{space}|{space}$", "")
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, space))
 
 
 def contains_ci(text: Column, part: Column | str) -> Column:
@@ -108,26 +116,47 @@ def footnote(citation: Column, page: Column, box: Column, source: Column, confid
     return F.concat_ws("", *parts)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Matches whose places are summed together.
+_RUN = 256
+
+
 def match_spans(text: Column, pattern: str, limit: int | None = None) -> Column:
     """Matches (the first ``limit``) as an array of structs (start, end, match), 0-based and half-open, without a Python function.
 
     The text between matches and the matches themselves are both known natively;
-    running lengths of the two give the positions.  The pattern must not match the
-    empty string.  A match's place is summed from the start of the text, so ask for no
-    more matches of a text than are needed.
+    running lengths of the two give the positions, by sums of runs of matches and then
+    within a run, so that a text with very many matches costs little more for each.
+    The pattern must not match the empty string.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
+    gaps = F.transform(F.split(text, pattern, -1 if limit is None else limit + 1), lambda s: F.length(s))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if limit is not None:
-        gaps, found = F.slice(gaps, 1, limit), F.slice(found, 1, limit)
-    lengths = F.transform(found, lambda s: F.length(s))
+    return let(F.struct(gaps.alias("gaps"), (found if limit is None else F.slice(found, 1, limit)).alias("found")), lambda t: spans_of(t["gaps"], t["found"]))
+
+
+def spans_of(gaps: Column, found: Column) -> Column:
+    """Spans of matches from the lengths of the texts before each."""
+    add = lambda a, x: a + x
+    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, s: g + F.length(s))
+    runs = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _RUN).cast("int"))
+    by_run = lambda t: F.transform(runs, lambda r: total(F.slice(t, r * _RUN + 1, F.lit(_RUN))))
+    before = lambda sums: F.transform(runs, lambda r: total(F.slice(sums, F.lit(1), r)))
+
+    def spans(t: Column) -> Column:
+        def place(s: Column, i: Column) -> Column:
+            run = F.floor(i / _RUN).cast("int")
+            start = F.get(t["before"], run) + total(F.slice(t["steps"], run * _RUN + 1, i % _RUN)) + F.get(gaps, i)
+            return F.struct(start.alias("start"), (start + F.length(s)).alias("end"), s.alias("match"))
 
-    def place(s: Column, i: Column) -> Column:
-        add = lambda a, x: a + x
-        start = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(lengths, 1, i), F.lit(0), add)
-        return F.struct(start.alias("start"), (start + F.length(s)).alias("end"), s.alias("match"))
+        return F.transform(found, place)
 
-    return F.transform(found, place)
+    whole = let(steps, lambda t: let(by_run(t), lambda sums: let(F.struct(t.alias("steps"), before(sums).alias("before")), spans)))
+    return F.when(F.size(found) > 0, whole).otherwise(F.array().cast("array<struct<start: int, end: int, match: string>>"))
 
 
 def keyword_pattern(keyword: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +18,18 @@ def search_spans(pages: DataFrame, pattern: str, keyword: bool = True, top_k: in
 
     ``top_k`` (None or 0: five) limits the rows of each document, not total_results.
     Positions come from native splitting, not from a Python function, and only for the
-    first ``top_k`` matches of a page; the others are counted.
+    first ``top_k`` matches of a page; the others are counted.  Pages without the keyword
+    are left out before.
     """
     regex, k = T.keyword_pattern(pattern) if keyword else f"(?i){pattern}", top_k or TOP_K
     text = F.coalesce("markdown", F.lit(""))
-    counted = pages.select("doc_id", "page", T.match_spans(text, regex, k).alias("first"), F.regexp_count(text, F.lit(regex)).cast("long").alias("n")).where("n > 0")
+    pool = pages.where(T.contains_ci(text, pattern)) if keyword else pages
+    gaps = F.transform(F.split(text, regex, k + 1), lambda s: F.length(s))
+    matched = T.let(
+        F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found")),
+        lambda t: F.struct(T.spans_of(t["gaps"], F.slice(t["found"], 1, k)).alias("first"), F.size(t["found"]).cast("long").alias("n")),
+    )
+    counted = pool.select("doc_id", "page", matched.alias("m")).select("doc_id", "page", "m.*").where("n > 0")
     w = Window.partitionBy("doc_id")
     hits = counted.withColumn("total_results", F.sum("n").over(w)).select("doc_id", "page", "total_results", F.explode("first").alias("m"))
     ranked = hits.withColumn("rank", F.row_number().over(w.orderBy("page", "m.start")))
@@ -78,13 +86,23 @@ def find_sections(heads: DataFrame, query: str) -> DataFrame:
     return heads.where(T.contains_ci(F.col("text"), query))
 
 
-def subtree(contents: DataFrame, query: str, depth: int = 6) -> DataFrame:
-    """Headings that match, and those below a match; the tree is at most six deep, so six joins on the parent reach all."""
-    tree = contents.withColumn("hit", T.contains_ci(F.col("text"), query))
-    for _ in range(depth - 1):
-        up = tree.select("doc_id", F.col("n").alias("_n"), F.col("hit").alias("_hit"))
-        tree = tree.join(up, (tree["doc_id"] == up["doc_id"]) & (tree["parent"] == up["_n"]), "left").select(tree["*"], "_hit").withColumn("hit", F.col("hit") | F.coalesce("_hit", F.lit(False))).drop("_hit")
-    return tree.where("hit").drop("hit")
+def subtree(contents: DataFrame, query: str) -> DataFrame:
+    """Headings that match, and those below a match.
+
+    A heading lies below the last one before it of each smaller level down to the
+    first that is a parent; one window over a document carries, for each level, whether
+    its last heading is a match or lies below one.
+    """
+    hit = F.coalesce(T.contains_ci(F.col("text"), query), F.lit(False))
+    before = Window.partitionBy("doc_id").orderBy("page", "position").rowsBetween(Window.unboundedPreceding, -1)
+    above = [F.max(F.when(F.col("level") == k, F.struct("n", hit.alias("hit")))).over(before) for k in range(1, 6)]
+    numbered = contents.select("*", *(a.alias(f"_l{k}") for k, a in enumerate(above, 1)))
+    # The last heading of level k stands above a row if k is smaller than the row's level and no smaller level came after it.
+    part = lambda k: (F.col("level") > k) & F.col(f"_l{k}.hit") & F.coalesce(F.col(f"_l{k}.n") > F.greatest(F.lit(0), F.lit(0), *(F.col(f"_l{j}.n") for j in range(1, k))), F.lit(False))
+    inside = hit
+    for k in range(1, 6):
+        inside = inside | F.coalesce(part(k), F.lit(False))
+    return numbered.where(inside).drop(*(f"_l{k}" for k in range(1, 6)))
 
 
 def table_index(blocks: DataFrame) -> DataFrame:
@@ -108,24 +126,32 @@ def by_page(spans: DataFrame) -> DataFrame:
 def chunk_text(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Overlapping chunks that end, where one stands past the middle, after a full stop, an exclamation or a question.
 
-    A fold over as many steps as the text can need.  The kinds of ending are tried in
-    order and the first found counts; a last chunk may repeat the end of the one before.
+    The kinds of ending are tried in order and the first found counts; a last chunk may
+    repeat the end of the one before.  Blanks at a chunk's ends go; a text of ``size`` or
+    fewer characters is one chunk as it stands; null stays null.  Each chunk begins where
+    the one before ends, less the overlap, which must be under half the size, or a cut
+    might not lead on.  Each end depends on the one before, so texts come in Arrow
+    batches; the time is that of the text's length.
     """
-    most = F.ceil(F.length(text) / F.lit(size / 2 - overlap)).cast("int") + 1
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, _: Column) -> Column:
-        piece = F.substring(text, a["at"] + 1, F.lit(size))
-        last = lambda mark: F.length(piece) - F.instr(F.reverse(piece), mark[::-1]) - 1  # noqa: E731  0-based place of a two-letter mark's last occurrence
-        cut = F.lit(None).cast("int")
-        for mark in (". ", ".\n", "! ", "?\n"):
-            found = (F.instr(F.reverse(piece), mark[::-1]) > 0) & (last(mark) > size / 2)
-            cut = F.coalesce(cut, F.when(found, last(mark) + len(mark)))
-        whole = (a["at"] + size) < F.length(text)
-        end = a["at"] + F.when(whole & cut.isNotNull(), cut).otherwise(F.lit(size))
-        chunk = F.trim(F.substring(text, a["at"] + 1, end - a["at"]))
-        more = F.struct((end - overlap).alias("at"), F.when(chunk != "", F.concat(a["out"], F.array(chunk))).otherwise(a["out"]).alias("out"))
-        return F.when(a["at"] < F.length(text), more).otherwise(a)
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), state, step, lambda a: a["out"])
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(folded)
+    if not 0 <= overlap < size / 2:
+        raise ValueError("the overlap must be less than half the size")
+
+    def one(t: str | None) -> list[str] | None:
+        if t is None or len(t) <= size:
+            return None if t is None else [t]
+        out, at = [], 0
+        while at < len(t):
+            end = at + size
+            if end < len(t):
+                lasts = (t.rfind(mark, at, end) - at for mark in (". ", ".\n", "! ", "?\n"))
+                end = at + next((last + 2 for last in lasts if last > size / 2), size)
+            if chunk := t[at:end].strip(" "):
+                out.append(chunk)
+            at = end - overlap
+        return out
+
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in batch], dtype=object)
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<string>")(text)

@@ -7,6 +7,8 @@ start from the same rows.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def frame_sql(*names: str) -> str:
     """The frames as common table expressions for the oracle."""
     return "WITH " + ", ".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', FRAMES[n])})" for n in names)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see: under ``spark.checkpoint.dir``, or on a local master without it in a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        base = tempfile.mkdtemp(prefix="pagelode-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -115,9 +115,8 @@ def discover(spark: SparkSession, chunks: DataFrame, cache: DataFrame, model: bo
 
     chunks: doc, text.  An answer that is no JSON list gives no rows.
     """
-    terms, lengths = search.postings(chunks, "doc", "text"), search.lengths(chunks, "doc", "text")
     queries = spark.createDataFrame(list(enumerate(DISCOVERY_QUERIES)), "query_id int, text string")
-    hits = search.bm25(queries, terms, lengths, DISCOVERY_K).join(chunks, "doc")
+    hits = search.bm25_texts(queries, chunks, DISCOVERY_K, "doc").join(chunks, "doc")
     context = discovery_context(hits.select("query_id", "rank", "text"))
     scores = hits.agg(F.array_sort(F.collect_list("score")).alias("scores"))  # at most fifty
     prompt = F.concat(F.lit(f"List as JSON the messages of the {device} specification, each with message_type, direction and description.\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "text"))), lambda x: x["text"]), "\n---\n"))

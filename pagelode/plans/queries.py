@@ -21,7 +21,7 @@ from pagelode.operators import messages as MS
 from pagelode.operators import navigator as N
 from pagelode.operators import registry as R
 from pagelode.operators import search as S
-from pagelode.plans.base import frame, frame_sql
+from pagelode.plans.base import frame, frame_sql, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,8 +50,8 @@ def r6(c) -> F.Column:
 
 QUERY_TEXTS = ((1, "the and of to"), (2, "la les une la"), (3, "der die und"), (4, "Widget"))
 TOKENS = r"unnest(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> ''))"
-BM25 = rf"""
-WITH q AS (SELECT * FROM (VALUES (1, 'the and of to'), (2, 'la les une la'), (3, 'der die und'), (4, 'Widget')) v(query_id, text)),
+Q_TEXTS = "SELECT * FROM (VALUES (1, 'the and of to'), (2, 'la les une la'), (3, 'der die und'), (4, 'Widget')) v(query_id, text)"
+BM25_OF = rf"""
 tok AS (SELECT doc_id AS doc, {TOKENS.format("text")} AS term FROM documents),
 tf AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT d.doc_id AS doc, coalesce(n, 0) AS dl FROM documents d LEFT JOIN (SELECT doc, count(*) AS n FROM tok GROUP BY 1) t ON d.doc_id = t.doc),
@@ -66,6 +66,7 @@ scored AS (
 ),
 keyword AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS rank FROM scored WHERE score > 0)
 """
+BM25 = f"WITH q AS ({Q_TEXTS}), {BM25_OF}"
 
 
 def _queries(spark: SparkSession) -> DataFrame:
@@ -75,13 +76,13 @@ def _queries(spark: SparkSession) -> DataFrame:
 @query(BM25 + "SELECT query_id, doc, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM keyword WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = S.bm25(_queries(spark), S.postings(docs), S.lengths(docs), 10)
+    found = S.bm25_texts(_queries(spark), docs, 10)
     return found.select("query_id", "doc", r6("score").alias("score"), "rank")
 
 
 @query(BM25 + "SELECT term, df, CAST(cf AS BIGINT) AS cf FROM df")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return S.vocabulary(table(spark, sf_dir, "documents")).where(F.col("term").isNotNull())
 
 
 @query(BM25 + "SELECT n, round(avgdl, 6) AS avgdl FROM stats")
@@ -97,13 +98,13 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VECTORS = """
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-d AS (SELECT q.id AS query_id, v.id, v.label, list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v q, v WHERE q.id < 5{0})
+d AS (SELECT q.id AS query_id, v.id, v.label, list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v q, v WHERE q.id % 20 = 0{0})
 """
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return vectors.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), vectors
+    return vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), vectors
 
 
 @query("WITH " + VECTORS.format("") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT query_id, id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
@@ -124,10 +125,9 @@ def vector_topk_post_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    BM25
-    + ", "
+    f"WITH t AS ({Q_TEXTS}), q AS (SELECT vec_id AS query_id, t.text FROM embeddings JOIN t ON t.query_id = (vec_id // 20) % 4 + 1 WHERE vec_id % 20 = 0), {BM25_OF}, "
     + VECTORS.format("")
-    + """, semantic AS (SELECT query_id, id AS doc, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d WHERE query_id >= 1),
+    + """, semantic AS (SELECT query_id, id AS doc, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d),
 keys AS (SELECT doc_id AS doc, left(text, 50) AS key FROM documents),
 parts AS (
   SELECT query_id, key, 'semantic' AS source, 0 AS late, min(rank) AS r, 0.6::DOUBLE / (min(rank) + 60) AS part FROM semantic JOIN keys USING (doc) WHERE rank <= 15 GROUP BY ALL
@@ -140,12 +140,20 @@ SELECT query_id, key, round(rrf, 6) AS rrf, sources, CAST(n AS INT) AS rank FROM
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     asked, vectors = _vectors(spark, sf_dir)
-    queries = _queries(spark).join(asked.withColumn("query_id", F.col("query_id").cast("int")), "query_id")
+    texts = _queries(spark).withColumnRenamed("query_id", "n")
+    queries = asked.join(texts, F.floor(asked["query_id"] / 20) % 4 + 1 == texts["n"]).drop("n")
     keys = docs.select(F.col("doc_id").alias("id"), S.dedupe_key(F.lit(None).cast("string"), F.col("text")).alias("key"))
-    found = S.hybrid_search(queries, vectors, S.postings(docs), S.lengths(docs), keys)
+    found = S.hybrid_search(queries, vectors, docs, None, keys)
     return found.select("query_id", "key", r6("rrf").alias("rrf"), "sources", "rank")
 
 
+@query(BM25 + "SELECT query_id, keyword.doc, round(score, 6) AS score, CAST(n AS INT) AS rank FROM (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS n FROM keyword JOIN documents ON doc_id = doc WHERE lang = 'en') keyword WHERE n <= 10")
+def bm25_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a stored index, among the documents that a condition on their metadata holds of."""
+    index = S.KeywordIndex.build(table(spark, sf_dir, "documents"), scratch(spark, "bm25"))
+    return index.search(_queries(spark), 10, F.col("lang") == "en").select("query_id", "doc", r6("score").alias("score"), "rank")
+
+
 @query(frame_sql("spec_pages") + " SELECT doc_id, page, 'markdown' AS kind, trim(split_part(markdown, '## Citations', 1)) AS chunk FROM spec_pages WHERE length(trim(split_part(markdown, '## Citations', 1))) > 50 UNION ALL SELECT 'd', 1, 'text', text FROM documents WHERE length(text) > 10")
 def master_index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = frame(spark, sf_dir, "spec_pages")
@@ -190,19 +198,30 @@ def regex_span_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.where("n > 0")
 
 
-@query(frame_sql("spec_pages") + " SELECT doc_id, page, 2 AS start, 40 AS \"end\", CASE WHEN length(markdown) >= 40 THEN substring(markdown, 3, 38) END AS text, CASE WHEN length(markdown) < 40 THEN 'span beyond the page' END AS error FROM spec_pages")
+@query(
+    frame_sql("spec_pages")
+    + """, w AS (SELECT doc_id, page, markdown, CAST(page % 40 AS INT) AS start, CAST(page % 40 + 60 AS INT) AS "end" FROM spec_pages)
+SELECT doc_id, page, start, "end", CASE WHEN length(markdown) >= "end" THEN substring(markdown, start + 1, 60) END AS text,
+       'p' || page || CASE WHEN start < 15 THEN '_txt1' WHEN start < 30 THEN '_txt2' END AS citation, CASE WHEN length(markdown) < "end" THEN 'span beyond the page' END AS error FROM w"""
+)
 def get_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three spans in four lie in a block and are cited by the first that holds their start; the others by none."""
     pages = frame(spark, sf_dir, "spec_pages")
-    blocks = pages.select("doc_id", "page", F.lit(0).alias("md_start"), F.lit(20).alias("md_end"), F.lit(1).alias("ord"), F.lit("c").alias("citation"))
-    wanted = pages.select("doc_id", "page", F.lit(2).alias("start"), F.lit(40).alias("end"))
-    return N.get_span(pages, blocks, wanted).select("doc_id", "page", "start", "end", "text", "error")
+    slices = F.array(*(F.struct(F.lit(a).alias("md_start"), F.lit(b).alias("md_end"), F.lit(n).alias("ord")) for n, (a, b) in enumerate(((0, 15), (10, 30)), 1)))
+    blocks = pages.select("doc_id", "page", F.inline(slices)).withColumn("citation", F.format_string("p%d_txt%d", "page", "ord"))
+    wanted = pages.select("doc_id", "page", (F.col("page") % 40).alias("start"), (F.col("page") % 40 + 60).alias("end"))
+    return N.get_span(pages, blocks, wanted).select("doc_id", "page", "start", "end", "text", "citation", "error")
 
 
-@query("SELECT CAST(doc_id AS STRING) AS doc_id, CAST(greatest(100 - 50, 0) AS INT) AS window_start, CAST(least(120 + 50, length(text)) AS INT) AS window_end, substring(text, 51, 50) AS before, substring(text, 121, least(170, length(text)) - 120) AS after FROM documents WHERE length(text) >= 120")
+@query(
+    """WITH d AS (SELECT CAST(doc_id AS STRING) AS doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, CAST(least(50, n) AS INT) AS window_start, CAST(least(170, n) AS INT) AS window_end, substring(text, 51, 50) AS before,
+       CASE WHEN n > 120 THEN substring(text, 121, least(170, n) - 120) ELSE '' END AS after, CASE WHEN n < 120 THEN 'span beyond the page' END AS error FROM d"""
+)
 def neighbors_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.col("text").alias("markdown")).where("length(markdown) >= 120")
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.col("text").alias("markdown"))
     spans = pages.select("doc_id", "page", F.lit(100).alias("start"), F.lit(120).alias("end"))
-    return N.neighbors(spans, pages, 50).select("doc_id", "window_start", "window_end", "before", "after")
+    return N.neighbors(spans, pages, 50).select("doc_id", "window_start", "window_end", "before", "after", "error")
 
 
 HEADINGS = r"""
@@ -217,9 +236,9 @@ def headings_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.headings(frame(spark, sf_dir, "spec_pages")).select("doc_id", "page", "position", "level", "text")
 
 
-@query(frame_sql("spec_pages") + ", " + HEADINGS + " SELECT doc_id, page, text FROM h WHERE contains(lower(text), 'steel')")
+@query(frame_sql("spec_pages") + ", " + HEADINGS + " SELECT doc_id, page, text FROM h WHERE contains(lower(text), 'gear')")
 def section_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.find_sections(N.headings(frame(spark, sf_dir, "spec_pages")), "STEEL").select("doc_id", "page", "text")
+    return N.find_sections(N.headings(frame(spark, sf_dir, "spec_pages")), "GEAR").select("doc_id", "page", "text")
 
 
 @query(
@@ -238,7 +257,25 @@ def html_heading_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>"), F.lit(0))).cast("long").alias("n_headings"), F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("title"))
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+c AS (
+  SELECT doc_id, text, n, 0 AS pos, 0 AS upto, 0 AS k FROM d WHERE n > 512
+  UNION ALL
+  SELECT doc_id, text, n, start, start + CASE WHEN start + 512 >= n THEN 512 WHEN a > 256 THEN a + 2 WHEN b > 256 THEN b + 2 WHEN e > 256 THEN e + 2 WHEN f > 256 THEN f + 2 ELSE 512 END, k + 1
+  FROM (SELECT *, CASE k WHEN 0 THEN 0 ELSE upto - 50 END AS start FROM c) s,
+  LATERAL (SELECT substring(text, start + 1, 512) AS piece) p,
+  LATERAL (SELECT list_max(list_transform(range(1, 512), lambda i: CASE WHEN substring(piece, i, 2) = '. ' THEN i - 1 ELSE -1 END)) AS a,
+                  list_max(list_transform(range(1, 512), lambda i: CASE WHEN substring(piece, i, 2) = '.' || chr(10) THEN i - 1 ELSE -1 END)) AS b,
+                  list_max(list_transform(range(1, 512), lambda i: CASE WHEN substring(piece, i, 2) = '! ' THEN i - 1 ELSE -1 END)) AS e,
+                  list_max(list_transform(range(1, 512), lambda i: CASE WHEN substring(piece, i, 2) = '?' || chr(10) THEN i - 1 ELSE -1 END)) AS f) m
+  WHERE start < n
+),
+t AS (SELECT doc_id, k, trim(substring(text, pos + 1, upto - pos), ' ') AS chunk FROM c WHERE k > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS n, chunk FROM t WHERE chunk <> ''
+UNION ALL SELECT doc_id, 0, text FROM d WHERE n <= 512"""
+)
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(N.chunk_text(F.col("text"))).alias("n", "chunk"))
 
