@@ -144,8 +144,8 @@ def order_key(df: DataFrame, name: str) -> Column:
     return named(df, name).cast("long" if whole_number(df.schema[name].dataType) else "string")
 
 
-#: Keys that cut points are taken from: all, or beyond this number about as many, by their hash.
-KEYS_TAKEN = 100_000
+#: Keys that cut points are taken from: all, or beyond this number (or sixteen a range) about as many, by their hash.
+KEYS_TAKEN = 10_000
 #: Bytes of a range partition: a 1024th of the input, within these bounds.
 LEAST_RANGE, MOST_RANGE = 16 << 20, 512 << 20
 
@@ -161,7 +161,7 @@ def cut_points(keys: DataFrame, least: int = LEAST_RANGE, most: int = MOST_RANGE
     parts = -(-whole["bytes"] // min(max(whole["bytes"] >> 10, least), most))
     if parts < 2:
         return []
-    taken = keys.where(F.pmod(F.xxhash64("key", "tie"), F.lit(max(whole["n"] // KEYS_TAKEN, 1))) == 0)
+    taken = keys.where(F.pmod(F.xxhash64("key", "tie"), F.lit(max(whole["n"] // max(KEYS_TAKEN, 16 * parts), 1))) == 0)
     rows = taken.groupBy("key", "tie").agg(F.sum("bytes").alias("bytes")).collect()
     rows.sort(key=lambda r: (r["key"] is not None, r["key"].encode() if isinstance(r["key"], str) else r["key"], r["tie"]))
     if not rows:
