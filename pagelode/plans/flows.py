@@ -104,6 +104,26 @@ def missing_keys(data: Column, required: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, required)), lambda k: F.coalesce(F.try_element_at(data, k), F.lit("")) == "")
 
 
+#: What a JSON value is called, by the beginning of its variant type.
+_KINDS = (("STRING", "str"), ("BOOLEAN", "bool"), ("BIGINT", "int"), ("DECIMAL", "float"), ("DOUBLE", "float"), ("ARRAY", "list"), ("OBJECT", "dict"), ("VOID", "NoneType"))
+_WANTED = {"string": ("str",), "number": ("int", "float"), "array": ("list",), "object": ("dict",), "boolean": ("bool",)}
+
+
+def type_errors(data: Column, properties: dict[str, str]) -> Column:
+    """What is wrong with the types of a JSON object's values (a text), property by property; a missing one is no error."""
+    values = F.from_json(data, "map<string, variant>")
+
+    def error(name: str, wanted: str) -> Column:
+        kind = F.lit(None).cast("string")
+        shown = F.schema_of_variant(F.try_element_at(values, F.lit(name)))
+        for begin, python in reversed(_KINDS):
+            kind = F.when(F.startswith(shown, F.lit(begin)), python).otherwise(kind)
+        kind = F.when(F.map_contains_key(values, F.lit(name)), F.coalesce(kind, F.lit("NoneType")))
+        return F.when(~kind.isin(*_WANTED.get(wanted, (wanted,))), F.concat(F.lit(f"Field '{name}': expected {wanted}, got "), kind))
+
+    return F.array_compact(F.array(*(error(n, w) for n, w in properties.items())))
+
+
 def discovery_context(hits: DataFrame) -> DataFrame:
     """The first chunks of all discovery queries (query_id, rank, text) in order, each text once."""
     first = hits.groupBy("text").agg(F.min(F.struct("query_id", "rank")).alias("seen"))

@@ -154,11 +154,11 @@ def bm25_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(_queries(spark), 10, F.col("lang") == "en").select("query_id", "doc", r6("score").alias("score"), "rank")
 
 
-@query(frame_sql("spec_pages") + " SELECT doc_id, page, 'markdown' AS kind, trim(split_part(markdown, '## Citations', 1)) AS chunk FROM spec_pages WHERE length(trim(split_part(markdown, '## Citations', 1))) > 50 UNION ALL SELECT 'd', 1, 'text', text FROM documents WHERE length(text) > 10")
+@query(frame_sql("spec_pages") + " SELECT doc_id, page, 'markdown' AS kind, trim(split_part(markdown, '## Citations', 1)) AS chunk FROM spec_pages WHERE length(trim(split_part(markdown, '## Citations', 1))) > 50 UNION ALL SELECT 'd', 1, 'text', text FROM documents WHERE length(text) > 10 UNION ALL SELECT 'd', 1, 'ocr', text FROM documents WHERE length(text) > 20 AND doc_id % 2 = 0")
 def master_index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = frame(spark, sf_dir, "spec_pages")
     blocks = table(spark, sf_dir, "documents").select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.lit("text").alias("type"), F.col("text").alias("content"), F.lit(None).cast("string").alias("citation"))
-    ocr = blocks.limit(0).select("doc_id", "page", F.col("content").alias("text"), "citation")
+    ocr = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), "text", F.lit(None).cast("string").alias("citation"))  # every other text as recognised
     return S.chunks(pages, blocks, ocr).select("doc_id", "page", "kind", "chunk")
 
 

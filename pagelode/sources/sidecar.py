@@ -10,13 +10,15 @@ from pagelode.schemas import SIDECAR, SIDECAR_PAGE
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of all sidecars under a path: doc_id (the file's stem) and page struct.
+    """Pages of all sidecars under a path: doc_id (of the folder a writer made for it, else the file's stem) and page struct.
 
     Both an object with ``pages`` and a bare list of pages are read, each file once as
     text and parsed with a fixed schema; a file that is neither gives no rows here and
     one in ``unreadable``.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1).alias("doc_id"), F.col("value"))
+    read = spark.read.text(path, wholetext=True)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1)
+    files = read.select((F.col("doc_id").cast("string") if "doc_id" in read.columns else stem).alias("doc_id"), F.col("value"))
     return files.select("doc_id", F.explode(_pages()).alias("p"))
 
 
@@ -63,15 +65,30 @@ def ocr(sidecars: DataFrame) -> DataFrame:
     return flat.select("doc_id", "page", _box(F.col("o.bbox")).alias("bbox"), "o.text", "o.confidence", "o.source", "o.citation", "o.associated_block", F.coalesce("o.language", F.lit("eng")).alias("language"))
 
 
-def to_sidecars(page_rows: DataFrame, block_rows: DataFrame) -> DataFrame:
-    """One JSON object a document, keys by kind of block: doc_id, value."""
+def to_sidecars(page_rows: DataFrame, block_rows: DataFrame, citation_rows: DataFrame | None = None, ocr_rows: DataFrame | None = None) -> DataFrame:
+    """One JSON object a document: doc_id, value.
+
+    Pages may have ``metadata``; citations and OCR results are those that ``citations``
+    and ``ocr`` give, and are left out where there are none.
+    """
     box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"))
     slice_ = F.when(F.col("type") == "text", F.array("md_start", "md_end"))
     block = F.struct("ord", F.struct("type", box.alias("bbox"), "citation", slice_.alias("md_slice"), F.when(F.col("type") == "text", F.col("content")).alias("content"), "image_ref", "table_ref", "markdown_table", "source").alias("b"))
-    grouped = block_rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("bs")).select("doc_id", "page", F.transform("bs", lambda x: x["b"]).alias("blocks"))
-    page = F.struct("page", "markdown", "blocks")
-    whole = page_rows.select("doc_id", "page", "markdown").join(grouped, ["doc_id", "page"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    return whole.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("pdf_name"), F.size("pages").alias("total_pages"), "pages")).alias("value"))
+    on = ["doc_id", "page"]
+    pages = page_rows.select(*on, "markdown", *(["metadata"] if "metadata" in page_rows.columns else []))
+    parts = [block_rows.groupBy(*on).agg(F.array_sort(F.collect_list(block)).alias("bs")).select(*on, F.transform("bs", lambda x: x["b"]).alias("blocks"))]
+    if citation_rows is not None:
+        cited = F.struct("citation_id", F.struct("citation_id", "page", box.alias("bbox"), "source", "confidence", "content_type").alias("c"))
+        parts.append(citation_rows.groupBy(*on).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("citation_id", cited["c"].alias("c"))))).alias("citations")))
+    if ocr_rows is not None:
+        seen = F.struct(box.alias("bbox"), "text", "confidence", "source", "citation", "associated_block", "language")
+        parts.append(ocr_rows.groupBy(*on).agg(F.array_sort(F.collect_list(seen), lambda x, y: F.when(x["citation"] < y["citation"], -1).when(x["citation"] > y["citation"], 1).otherwise(0)).alias("ocr")))
+    for part in parts:
+        pages = pages.join(part, on, "left")
+    page = F.struct("page", F.struct(*(c for c in pages.columns if c != "doc_id")).alias("p"))
+    whole = pages.groupBy("doc_id").agg(F.collect_list(page).alias("ps"))
+    ordered = F.transform(F.array_sort("ps", lambda x, y: x["page"] - y["page"]), lambda x: x["p"])  # maps do not sort
+    return whole.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("pdf_name"), F.size("ps").alias("total_pages"), ordered.alias("pages"))).alias("value"))
 
 
 def write_sidecars(sidecars: DataFrame, path: str) -> None:
