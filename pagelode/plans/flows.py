@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import confidence as C
 from pagelode.functions.text import json_payload
 from pagelode.operators import diff, fields, messages, registry, reports, search
+from pagelode.plans import prompts
 from pagelode.sources import boundary
 
 #: What the discovery step searches for.
@@ -147,6 +149,46 @@ def discover(spark: SparkSession, chunks: DataFrame, cache: DataFrame, model: bo
     return parsed.crossJoin(F.broadcast(scores)).select("data", C.discovery(C.search(F.col("scores")), complete).alias("confidence"))
 
 
+def message_fields(spark: SparkSession, found: DataFrame, chunks: DataFrame, cache: DataFrame, model: boundary.Provider, device: str, k: int = DISCOVERY_K) -> DataFrame:
+    """The fields that a model finds of each message (message_type): message_type, fields (maps of strings), confidence and error.
+
+    All messages are steps of one plan: a search a message over the chunks (doc, text),
+    a prompt a message, and the answers parsed together.  An answer that is no JSON list
+    has no fields, confidence 0 and an error.
+    """
+    wanted = found.select("message_type").distinct()
+    queries = wanted.select(F.col("message_type").alias("query_id"), F.concat("message_type", F.lit(" field definitions structure")).alias("text"))
+    hits = search.bm25_texts(queries, chunks, k, "doc").join(chunks, "doc")
+    listed = hits.groupBy(F.col("query_id").alias("message_type")).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("hits"), F.sort_array(F.collect_list("score"), False).alias("scores"))
+    none = F.array().cast("array<string>")
+    asked = wanted.join(listed, "message_type", "left").select(
+        "message_type", F.coalesce("scores", F.array().cast("array<double>")).alias("scores"),
+        prompts.message_fields(F.lit(device), F.col("message_type"), F.coalesce(F.transform("hits", lambda h: h["text"]), none)).alias("prompt_text"),
+    )
+    answers = boundary.generate(asked.select("prompt_text"), cache, model, system_prompt=prompts.SYSTEM).dropDuplicates(["prompt_text"])
+    parsed = asked.join(answers, "prompt_text").withColumn("fields", F.from_json(json_payload(F.col("response")), "array<map<string, string>>"))
+    share = lambda keys: F.aggregate(F.transform("fields", lambda f: 1 - F.size(missing_keys(f, keys)) / len(keys)), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("fields"), F.lit(1))
+    read = F.col("fields").isNotNull()
+    score = F.when(read, C.fields(C.search(F.col("scores")), share(FIELD_KEYS[:2]), share(FIELD_KEYS))).otherwise(0.0)
+    return parsed.select("message_type", F.coalesce("fields", F.array().cast("array<map<string, string>>")).alias("fields"), score.alias("confidence"), F.coalesce("error", F.when(~read, "the answer is no JSON list")).alias("error"), "prompt_hash", "prompt_text", "response", "cached")
+
+
+def blueprint(spark: SparkSession, chunks: DataFrame, cache: DataFrame, model: boundary.Provider, device: str, on_step: Callable[[str], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Discovery, then the fields of each message found: messages (message_type, direction, description, fields, confidence) and the answers to put in the cache.
+
+    ``on_step`` hears the name of each step as it begins.
+    """
+    tell = on_step or (lambda step: None)
+    tell("discovery")
+    found = discover(spark, chunks, cache, model, device).select(F.col("data")["message_type"].alias("message_type"), F.col("data")["direction"].alias("direction"), F.col("data")["description"].alias("description"), "confidence").where(F.coalesce("message_type", F.lit("")) != "")
+    found = found.groupBy("message_type").agg(F.max_by(F.struct("direction", "description", "confidence"), "confidence").alias("m")).select("message_type", "m.*").persist()
+    tell("fields")
+    fields_ = message_fields(spark, found, chunks, cache, model, device).persist()
+    tell("summary")
+    joined = found.join(fields_.select("message_type", "fields", F.col("confidence").alias("field_confidence"), "error"), "message_type", "left")
+    return joined, fields_.where(~F.col("cached") & F.col("response").isNotNull()).select("prompt_hash", "prompt_text", "response", "message_type")
+
+
 def refine(rows: DataFrame, required: tuple[str, ...], again, most_rounds: int = MOST_ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, data, confidence) whose gaps ``again`` (rows to a table of id, data) fills, round by round.
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions.hashing import prompt_hash
+from pagelode.sources.providers import ChatProvider, LocalProvider, MessagesProvider, OllamaProvider
 
 PAGES = "doc_id string, page int, markdown string, blocks string, error string"
 
@@ -50,10 +51,13 @@ class TextDecoder:
         return text, json.dumps(blocks)
 
 
-def pdf_decoder() -> PageDecoder:
+def pdf_decoder(name: str = "doc") -> PageDecoder:
+    """The decoder of PDF files, where its library is installed."""
     if importlib.util.find_spec("pymupdf") is None:
         raise ImportError("decoding PDF files needs pymupdf; pass a decoder of your own to extract_pages")
-    raise NotImplementedError("pass a decoder built on your PDF library to extract_pages")
+    from pagelode.sources.pdf import PdfDecoder
+
+    return PdfDecoder(name)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -91,15 +95,16 @@ def hashing_embedder(dim: int = 384) -> Callable[[pd.Series], pd.Series]:
     """A deterministic embedding by hashed words; blank texts are zero vectors."""
 
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts.fillna(""):
-            v = np.zeros(dim)
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).astype(np.float32).tolist())
-        return pd.Series(out)
+        words = [t.lower().split() for t in texts.fillna("")]
+        codes, distinct = pd.factorize(pd.Series([w for ws in words for w in ws], dtype=object))
+        hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in distinct], np.uint64)
+        row = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+        vectors = np.zeros((len(words), dim))
+        if len(row):
+            place, sign = (hashes % np.uint64(dim)).astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0)
+            np.add.at(vectors, (row, place[codes]), sign[codes])
+        norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+        return pd.Series(list((vectors / np.where(norm > 0, norm, 1.0)).astype(np.float32)))
 
     return embed
 
@@ -165,24 +170,28 @@ def with_retries(call: Callable[[], str], tries: int = 5, first: float = 2.0, mo
     raise AssertionError("unreachable")
 
 
-PROVIDERS: dict[str, Callable[..., Provider]] = {"stub": StubProvider}
+PROVIDERS: dict[str, Callable[..., Provider]] = {"stub": StubProvider, "ollama": OllamaProvider, "chat": ChatProvider, "messages": MessagesProvider, "local": LocalProvider}
 
 
 def provider(name: str, **options) -> Provider:
-    """A registered provider; others are added to ``PROVIDERS``."""
+    """A registered provider that can be reached; others are added to ``PROVIDERS``."""
     if name not in PROVIDERS:
         raise ValueError(f"unknown provider {name!r}; registered: {', '.join(sorted(PROVIDERS))}")
-    return PROVIDERS[name](**options)
+    made = PROVIDERS[name](**options)
+    if not getattr(made, "available", lambda: True)():
+        raise ConnectionError(f"provider {name!r} does not answer")
+    return made
 
 
 ANSWERS = "prompt_hash string, prompt_text string, response string, error string"
 
 
-def generate(prompts: DataFrame, cache: DataFrame, model: Provider, calls_per_second: float | None = None) -> DataFrame:
+def generate(prompts: DataFrame, cache: DataFrame, model: Provider, calls_per_second: float | None = None, system_prompt: str | None = None, lanes: int = 8) -> DataFrame:
     """Answers for prompts (prompt_text): from the cache where a verified one is there, else from the model, each distinct prompt once.
 
     Returns prompt_hash, prompt_text, response, cached and error.  New answers are to be
-    put in the cache unverified; a retried task asks again, under the same key.
+    put in the cache unverified; a retried task asks again, under the same key.  With
+    ``calls_per_second`` the prompts go to ``lanes`` tasks, each with its share of the rate.
     """
     keyed = prompts.withColumn("prompt_hash", prompt_hash(F.lit(model.model), F.col("prompt_text")))
     served = cache.where("is_verified").select("prompt_hash", F.coalesce("corrected_response", "original_response").alias("response"))
@@ -190,17 +199,19 @@ def generate(prompts: DataFrame, cache: DataFrame, model: Provider, calls_per_se
     misses = keyed.join(served, "prompt_hash", "left_anti").select("prompt_hash", "prompt_text").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = RateLimiter(calls_per_second, max(calls_per_second, 1.0)) if calls_per_second else None
+        limiter = RateLimiter(calls_per_second / lanes, 1.0) if calls_per_second else None
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["prompt_hash"], batch["prompt_text"], strict=True):
                 if limiter:
                     limiter.acquire()
                 try:
-                    rows.append((key, prompt, with_retries(lambda p=prompt: model.generate(p)), None))
+                    rows.append((key, prompt, with_retries(lambda p=prompt: model.generate(p, system_prompt) if system_prompt else model.generate(p)), None))
                 except Exception as e:  # noqa: BLE001  a failed call is a row
                     rows.append((key, prompt, None, str(e)))
             yield pd.DataFrame(rows, columns=["prompt_hash", "prompt_text", "response", "error"])
 
+    if calls_per_second:
+        misses = misses.repartition(lanes, "prompt_hash")
     answered = misses.mapInPandas(run, ANSWERS).select("prompt_hash", "prompt_text", "response", F.lit(False).alias("cached"), "error")
     return hits.unionByName(keyed.select("prompt_hash").join(answered, "prompt_hash"))
