@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, named, schema_of, text_column
-from pagelode.llm.components import connected_components
+from pagelode.llm.components import Forest, connected_components
 
 SHINGLE = 3
 SEED = 42
@@ -63,28 +63,6 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) ->
     return out
 
 
-class _Forest:
-    """Links among n nodes as a forest: each node's label is the least node it is known to reach."""
-
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        label = self.label
-        while True:
-            x, y = label[a], label[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label[:] = up
-
-
 def trie_links(values: np.ndarray, own: int, depth: int, errors: int = ERRORS) -> np.ndarray:
     """Labels of sorted distinct fingerprints by links within ``errors`` bits that touch the subtree ``own`` at ``depth``.
 
@@ -94,7 +72,7 @@ def trie_links(values: np.ndarray, own: int, depth: int, errors: int = ERRORS) -
     these part, and drops a pair once it is over the budget.  Pairs of few
     fingerprints are compared outright.
     """
-    forest = _Forest(len(values))
+    forest = Forest(len(values))
     prefixes = (values >> np.uint64(BITS - depth)).astype(np.int64) if depth else np.zeros(len(values), np.int64)
     nodes, starts = np.unique(prefixes, return_index=True)
     ends = np.append(starts[1:], len(values))
