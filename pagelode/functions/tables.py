@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelode.functions.text import let
+
 SEPARATOR = r"^[\|\-:\s]+$"
 
 
@@ -28,13 +30,18 @@ def fit(cells: Column, width: Column) -> Column:
 
 def parse_table(markdown: Column) -> Column:
     """Struct (headers, cells), null for what is no table: under three lines, or no rows."""
-    lines = table_lines(markdown)
-    at = F.array_position(F.transform(lines, lambda s: s.rlike(SEPARATOR)), F.lit(True)).cast("int")
-    separator = F.when(at > 0, at).otherwise(2)
-    headers = line_cells(F.get(lines, F.lit(0)))
-    rows = F.filter(F.transform(F.slice(lines, separator + 1, F.greatest(F.size(lines) - separator, F.lit(0))), line_cells), lambda r: F.size(r) > 0)
-    cells = F.transform(rows, lambda r: fit(r, F.size(headers)))
-    return F.when((F.size(lines) >= 3) & (F.size(headers) > 0) & (F.size(rows) > 0), F.struct(headers.alias("headers"), cells.alias("cells")))
+
+    def parts(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda s: s.rlike(SEPARATOR)), F.lit(True)).cast("int")
+        separator = F.when(at > 0, at).otherwise(2)
+        rows = F.filter(F.transform(F.slice(lines, separator + 1, F.greatest(F.size(lines) - separator, F.lit(0))), line_cells), lambda r: F.size(r) > 0)
+        return F.when(F.size(lines) >= 3, F.struct(line_cells(F.get(lines, F.lit(0))).alias("headers"), rows.alias("rows")))
+
+    def table(t: Column) -> Column:
+        cells = F.transform(t["rows"], lambda r: fit(r, F.size(t["headers"])))
+        return F.when((F.size(t["headers"]) > 0) & (F.size(t["rows"]) > 0), F.struct(t["headers"].alias("headers"), cells.alias("cells")))
+
+    return let(let(table_lines(markdown), parts), table)
 
 
 def has_columns(headers: Column, required: Column, exact: bool = False) -> Column:
