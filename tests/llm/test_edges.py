@@ -218,9 +218,8 @@ def test_crowded_trie(spark):
     stem = " ".join(f"s{i}" for i in range(60))
     texts = [f"{stem} e{i} f{i % 7}" for i in range(300)] + [f"other {i} text {i * i} of its own {i % 5}" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for errors in (0, 2, 3):
-        plain = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark, df, errors=errors).collect())
-        assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark, df, errors=errors, node_size=8).collect()) == plain
+    for errors in (0, 3):
+        plain = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark, df, errors=errors, node_size=8).collect())
         fps = simhash.fingerprints([t.encode() for t in texts])
         up = list(range(len(texts)))
         for i in range(len(texts)):

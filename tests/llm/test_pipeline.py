@@ -75,6 +75,8 @@ def test_packing_stage(spark, stages):
 
 def test_run(spark):
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    lengths = np.array([r.length for r in found.collect()])
+    assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "fragment"]
+    rows = found.collect()
+    lengths = np.array([r.length for r in rows])
+    assert len({(r.doc_id, r.fragment, r.start) for r in rows}) == len(rows)  # the mixture has several rows of a document
     assert len(lengths) and lengths.max() <= 4096 and re.fullmatch(r"\w+", corpus_pipeline.STAGES[0][0])
