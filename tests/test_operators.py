@@ -212,6 +212,35 @@ def test_otsu(spark):
     assert images.is_dark(counts, ["image"]).first()["dark"]
 
 
+def test_image_clean_up(spark):
+    """Against loops over pixels; the threshold against the one of the counts."""
+    rng = np.random.default_rng(4)
+    page = rng.integers(0, 90, (12, 15)).astype(np.uint8)
+    page[3:9, 4:11] += 130
+    at = lambda a, y, x: a[min(max(y, 0), a.shape[0] - 1)][min(max(x, 0), a.shape[1] - 1)]
+    byte = lambda v: int(min(max(v, 0), 255))
+
+    def plain(image):
+        h, w = len(image), len(image[0])
+        mean = int(sum(map(sum, image.tolist())) / (h * w) + 0.5)
+        strong = np.array([[byte(mean + 1.5 * (int(v) - mean)) for v in row] for row in image])
+        ring = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        smooth = lambda y, x: int(sum(at(strong, y + a, x + b) * (5 if (a, b) == (0, 0) else 1) for a, b in ring) / 13 + 0.5)
+        sharp = np.array([[byte(smooth(y, x) + 2.0 * (strong[y][x] - smooth(y, x))) for x in range(w)] for y in range(h)])
+        counts = images.histogram(spark.createDataFrame([("i", int(v)) for v in sharp.ravel()], "image string, value int"), ["image"])
+        cut = images.otsu_threshold(counts, ["image"]).first()["threshold"]
+        tones = (sharp > cut) * 255
+        calm = np.array([[sorted(at(tones, y + a, x + b) for a, b in ring)[4] for x in range(w)] for y in range(h)])
+        return 255 - calm if calm.mean() < 127 else calm
+
+    wanted = {"dark": plain(page), "light": plain(255 - page)}
+    rows = [("dark", 15, 12, page.tobytes()), ("light", 15, 12, (255 - page).tobytes()), ("colour", 15, 12, np.repeat(page[..., None], 3, -1).tobytes()), ("torn", 15, 12, b"abc"), ("none", 15, 12, None)]
+    found = {r.image: r for r in images.clean_images(spark.createDataFrame(rows, "image string, width int, height int, pixels binary")).collect()}
+    for name, image in wanted.items():
+        assert np.array_equal(np.frombuffer(found[name].pixels, np.uint8).reshape(12, 15), image) and found[name].error is None
+    assert found["colour"].pixels == found["dark"].pixels and bytes(found["torn"].pixels) == b"abc" and found["torn"].error and found["none"].error
+
+
 def test_refine(spark):
     rows = spark.createDataFrame([(1, {"a": "x", "b": ""}, 0.4), (2, {"a": "x", "b": "y"}, 0.3), (3, {}, 0.9)], "id int, data map<string,string>, confidence double")
     again = lambda d: d.select("id", F.create_map(F.lit("a"), F.lit("other"), F.lit("b"), F.lit("new")).alias("data"))
