@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyarrow import fs
 
-from pagelode.llm import lm
+from pagelode.llm import lm, queries
 
 TEXTS = ["the cat sat on the mat", "The cat ran", "a dog sat\non the\tmat mat", "", None, "zebra quagga", "the the the the", "cat sat on a mat, the cat", "on the mat the dog ran to the cat"] * 3
 
@@ -85,3 +86,23 @@ def test_blocks_round_trip():
     a, b = keys[::2], keys[::3]
     got, (sums,) = lm.merge_blocks([lm.pack_block(a, [np.full(len(a), 2)]), lm.pack_block(b, [np.full(len(b), 5)])], 1)
     assert got.tolist() == sorted({*a.tolist(), *b.tolist()}) and sums.sum() == 2 * len(a) + 5 * len(b)
+
+
+def test_query_takes_five_words(spark):
+    """The registered query's scores are those of the model of order five, held out and training texts alike."""
+    found = {r.doc_id: r for r in queries.op7_kneser_ney(spark, "/root/testdata/sf0.001").collect()}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert lm.ORDER == 5 and len(found) == len(rows)
+    for d, held, n, known, total, base, own in brute(rows, 5):
+        r = found[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(own)
+
+
+def test_parts_off_mounted_folders(tmp_path, monkeypatch):
+    lm.write_parts(f"file://{tmp_path}/parts", np.array([3, 9, 1 << 33]), [b"ab", b"", b"cde"])
+    wanted = [b"ab", b"", b"cde"]
+    assert [lm.Shelf(str(tmp_path)).part("parts", i) for i in (3, 9, 1 << 33)] == wanted
+    monkeypatch.setattr(lm, "open_fs", lambda uri: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "parts"))
+    shelf = lm.Shelf("elsewhere")
+    assert [shelf.part("parts", i) for i in (3, 9, 1 << 33)] == wanted and not shelf.maps
