@@ -1,4 +1,4 @@
-"""Near-duplicates by the similarity of word shingle sets: MinHash buckets propose, the sets themselves decide."""
+"""Near-duplicates by the similarity of word shingle sets: SimHash fingerprints joined in their trie propose, MinHash buckets add what these cannot reach, the sets themselves decide."""
 
 from __future__ import annotations
 
@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, gather_ranges, named, schema_of, split_words, text_column
 from pagelode.llm.components import Forest, connected_components
-from pagelode.llm.simhash import component_of
+from pagelode.llm.simhash import component_of, fingerprints, trie_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 #: Buckets a text falls in, and the minima that a bucket takes: a pair at 0.8 shares none with probability (1 - 0.8^5)^20 = 0.0004.
 BANDS, ROWS = 20, 5
+#: Bits in which fingerprints may differ, the most at which the trie still prunes at tens of millions of texts, and its nodes' size.
+ERRORS, NODE_SIZE = 3, 1 << 17
 #: Places of other texts that are counted at a time.
 COUNTED = 1 << 22
 #: Text of a block of a group.
@@ -102,8 +104,10 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, si
     """Link whole texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more; each document with its component.
 
     Texts of equal sets are one class from the start, so a group of copies of any
-    size is one row.  Each class falls in ``BANDS`` buckets; classes that buckets
-    join, directly or through others, are a group.  There the sets are compared
+    size is one row.  The classes' SimHash fingerprints, of the same shingles, are joined
+    within ``ERRORS`` bits by the trie of ``simhash``.  That reaches few of the pairs near
+    ``similarity``, so each class also falls in ``BANDS`` buckets.  Classes that either
+    joins, directly or through others, are a group.  There the sets are compared
     themselves, so no link is below ``similarity``.  A group of over ``GROUP_BYTES`` of
     text is cut into blocks, and each two blocks meet in a task of their own, so memory
     is that of two blocks however many near copies there are; a task emits a forest.
@@ -122,16 +126,22 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, si
                 hashes, edges = shingle_hashes(rows.column("text").cast(pa.string()), width)
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 fp = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
+                marks = fingerprints(rows.column("text").cast(pa.binary()).to_pylist(), width).view(np.int64)
                 keys = bucket_keys(hashes, edges).view(np.int64)
                 offsets = bounds(np.where(np.diff(edges) > 0, BANDS, 0)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())), rows.column("text")], names=["doc_id", "fp", "keys", "text"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp), pa.array(marks), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())), rows.column("text")], names=["doc_id", "fp", "mark", "keys", "text"])
 
-    signed = arrow_map(df.select(named(df, doc_id).alias("doc_id"), text_column(df, text).alias("text")), sign, schema_of(("doc_id", df.schema[doc_id].dataType), ("fp", "long"), ("keys", "array<long>"), ("text", "string")))
+    signed = arrow_map(df.select(named(df, doc_id).alias("doc_id"), text_column(df, text).alias("text")), sign, schema_of(("doc_id", df.schema[doc_id].dataType), ("fp", "long"), ("mark", "long"), ("keys", "array<long>"), ("text", "string")))
     signed = ws.cut(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    classes = ws.cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "classes")
+    classes = ws.cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("mark").alias("mark")), "classes")
+    marked = ws.cut(classes.groupBy("mark").agg(F.min("fp").alias("v")), "marked")
+    close = trie_join(ws, marked.select(F.col("mark").alias("fp")), ERRORS, NODE_SIZE)
+    ends = [marked.select(F.col("mark").alias(m), F.col("v").alias(e)) for m, e in (("u", "a"), ("v", "b"))]
+    close = close.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    close = close.union(classes.join(marked, "mark").select(F.col("fp").alias("u"), "v"))
     dealt = ws.cut(signed.join(classes.select("row"), "row", "left_semi").select("fp", F.explode("keys").alias("key")), "dealt")
     first = dealt.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    groups = connected_components(ws, dealt.join(first, "key").select(F.col("fp").alias("u"), "v"))
+    groups = connected_components(ws, close.union(dealt.join(first, "key").select(F.col("fp").alias("u"), "v")))
     ws.drop(dealt)
     members = groups.join(classes, groups["node"] == classes["fp"]).select("row", "fp", "label")
     texts = ws.cut(signed.select("row", "text").join(members, "row").select("fp", "label", "text"), "texts")

@@ -123,6 +123,37 @@ def _redealt(dealt: DataFrame, depth: int, deeper: int, errors: int) -> DataFram
     return dealt.select("fp", F.explode(F.filter(children, lambda n: (F.bit_count(own.bitwiseXOR(n)) <= errors) & (n <= own))).alias("node"))
 
 
+def trie_join(ws: Workspace, classes: DataFrame, errors: int = ERRORS, node_size: int = NODE_SIZE) -> DataFrame:
+    """Links (u, v) that join all distinct fingerprints ``fp`` within ``errors`` bits, as forests: one for each subtree of the trie (see ``near_duplicates``)."""
+    depth = min(max(math.ceil(math.log2(max(classes.count() / node_size, 1))), 5), 16)
+    masks = [sum(1 << i for i in bits) for k in range(min(errors, depth) + 1) for bits in combinations(range(depth), k)]
+    prefix = F.shiftrightunsigned("fp", BITS - depth)
+    nodes = F.filter(F.transform(F.array(*map(F.lit, masks)), lambda m: prefix.bitwiseXOR(m.cast("long"))), lambda q: q <= prefix)
+    dealt = classes.select("fp", F.explode(nodes).alias("node"))
+
+    def walker(depth: int) -> Callable[[pa.Table], pa.Table]:
+        def walk(table: pa.Table) -> pa.Table:
+            node = table.column("node")[0].as_py()
+            values = np.sort(table.column("fp").combine_chunks().to_numpy().view(np.uint64))
+            label = trie_links(values, node, depth, errors)
+            linked = np.flatnonzero(label != np.arange(len(values)))
+            return pa.table({"u": values[linked].view(np.int64), "v": values[label[linked]].view(np.int64)})
+
+        return walk
+
+    found = []
+    while True:
+        crowded = ws.cut(dealt.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 4 * node_size).select("node"), "crowded")
+        last = depth > BITS - 6 or crowded.isEmpty()
+        walked = dealt if last else dealt.join(crowded, "node", "left_anti")
+        found.append(ws.cut(walked.groupBy("node").applyInArrow(walker(depth), "u long, v long"), "links"))
+        if last:
+            break
+        dealt = ws.cut(_redealt(dealt.join(crowded, "node", "left_semi"), depth, depth + 6, errors), "dealt")
+        depth += 6
+    return reduce(DataFrame.union, found)
+
+
 def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, errors: int = ERRORS, doc_id: str = "doc_id", text: str = "text", node_size: int = NODE_SIZE) -> DataFrame:
     """Fingerprint whole texts and link those within ``errors`` bits; each document with its component.
 
@@ -155,33 +186,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, er
     kind = df.schema[doc_id].dataType
     docs = ws.cut(arrow_map(df.select(named(df, doc_id).alias("doc_id"), text_column(df, text).alias("text")), run, schema_of(("doc_id", kind), ("fp", "long"))), "fingerprints")
     classes = ws.cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    depth = min(max(math.ceil(math.log2(max(classes.count() / node_size, 1))), 5), 16)
-    masks = [sum(1 << i for i in bits) for k in range(min(errors, depth) + 1) for bits in combinations(range(depth), k)]
-    prefix = F.shiftrightunsigned("fp", BITS - depth)
-    nodes = F.filter(F.transform(F.array(*map(F.lit, masks)), lambda m: prefix.bitwiseXOR(m.cast("long"))), lambda q: q <= prefix)
-    dealt = classes.select("fp", F.explode(nodes).alias("node"))
-
-    def walker(depth: int) -> Callable[[pa.Table], pa.Table]:
-        def walk(table: pa.Table) -> pa.Table:
-            node = table.column("node")[0].as_py()
-            values = np.sort(table.column("fp").combine_chunks().to_numpy().view(np.uint64))
-            label = trie_links(values, node, depth, errors)
-            linked = np.flatnonzero(label != np.arange(len(values)))
-            return pa.table({"u": values[linked].view(np.int64), "v": values[label[linked]].view(np.int64)})
-
-        return walk
-
-    found = []
-    while True:
-        crowded = ws.cut(dealt.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 4 * node_size).select("node"), "crowded")
-        last = depth > BITS - 6 or crowded.isEmpty()
-        walked = dealt if last else dealt.join(crowded, "node", "left_anti")
-        found.append(ws.cut(walked.groupBy("node").applyInArrow(walker(depth), "u long, v long"), "links"))
-        if last:
-            break
-        dealt = ws.cut(_redealt(dealt.join(crowded, "node", "left_semi"), depth, depth + 6, errors), "dealt")
-        depth += 6
-    return component_of(ws, docs, classes, reduce(DataFrame.union, found)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return component_of(ws, docs, classes, trie_join(ws, classes, errors, node_size)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def component_of(ws: Workspace, docs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -66,3 +66,13 @@ def test_stage_takes_edited_copies(spark):
     apart = [i for i, t in enumerate(texts) if label[i] != i and (fingerprint(t) ^ fingerprint(texts[label[i]])).bit_count() > 2]
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(spark, texts), "").collect()}
     assert len(apart) > 20 and kept == set(label.values())
+
+
+def test_fingerprints_propose(spark, monkeypatch):
+    """Pairs that no bucket holds are found by their SimHash fingerprints; the sets still decide."""
+    r = random.Random(5)
+    words = [f"w{r.randrange(9000)}" for _ in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:1500], "x", *words[1501:]]), " ".join(words[::-1])]
+    monkeypatch.setattr(shingles, "bucket_keys", lambda hashes, edges: np.frombuffer(random.randbytes(160 * (len(edges) - 1)), np.uint64).reshape(-1, 20))
+    found = {x.doc_id: x.component_id for x in shingles.near_duplicates(spark, documents(spark, texts)).collect()}
+    assert found == wanted_labels(dict(enumerate(texts))) == {0: 0, 1: 0, 2: 2}
