@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import json
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,13 +275,41 @@ BATCH_BYTES = 12 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: Bytes of a group beyond which what its comparison held is given back.
+_GROUP_HELD = 1 << 20
+
+
+def give_back() -> None:
+    """Give the system what this process's allocators hold free, Arrow's and, where the C library can, its own.
+
+    Workers outlive tasks, and an executor has several for each core (a stage with two
+    Python steps runs two a task), so what idle ones hold stands beside those at work.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes (a session setting, left alone where it is set); what a task's memory pool holds is given back at its end."""
+    """``mapInArrow`` with batches bounded by bytes (a session setting, left alone where it is set); what a task held is given back at its end."""
     if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
         df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def arrow_groups(groups: GroupedData, function: Callable[[pa.Table], pa.Table], schema: str | T.StructType) -> DataFrame:
+    """``applyInArrow``; what a group that is not small held is given back after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = function(table)
+        if table.nbytes > _GROUP_HELD:
+            give_back()
+        return found
+
+    return groups.applyInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, gather_ranges, named, schema_of, split_words, text_column
+from pagelode.llm.common import Workspace, arrow_groups, arrow_map, bounds, byte_slices, gather_ranges, named, schema_of, split_words, text_column
 from pagelode.llm.components import Forest, connected_components
 from pagelode.llm.simhash import component_of, fingerprints, trie_join
 
@@ -23,7 +23,7 @@ BANDS, ROWS = 20, 5
 #: Bits in which fingerprints may differ, the most at which the trie still prunes at tens of millions of texts, and its nodes' size.
 ERRORS, NODE_SIZE = 3, 1 << 17
 #: Places of other texts that are counted at a time.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 #: Text of a block of a group.
 GROUP_BYTES = 16 << 20
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
@@ -78,8 +78,15 @@ def similar(values: np.ndarray, edges: np.ndarray, similarity: float = SIMILARIT
     """
     n = len(edges) - 1
     forest = Forest(n)
-    codes = np.unique(values, return_inverse=True)[1].ravel()
-    holders = np.repeat(np.arange(n), np.diff(edges))[np.argsort(codes, kind="stable")]
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.zeros(len(values), np.bool_)
+    first[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    codes = np.empty(len(values), np.int32)
+    codes[order] = np.cumsum(first, dtype=np.int32)
+    holders = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges))[order]
+    del order, first
     begin = bounds(np.bincount(codes))
     sizes = np.diff(edges)
     todo = np.ones(n, np.bool_)
@@ -169,5 +176,5 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = SHINGLE, si
         return pa.table({"u": fps[linked], "v": fps[label[linked]]})
 
     sets = arrow_map(texts, shingles, "fp long, label long, pairs array<struct<i: int, j: int>>, shingles array<long>")
-    links = sets.select("fp", "label", "shingles", F.explode("pairs").alias("pair")).groupBy("label", "pair.i", "pair.j").applyInArrow(compare, "u long, v long")
+    links = arrow_groups(sets.select("fp", "label", "shingles", F.explode("pairs").alias("pair")).groupBy("label", "pair.i", "pair.j"), compare, "u long, v long")
     return component_of(ws, signed.select("doc_id", "fp"), classes.select("fp", "least"), links).select("doc_id", "component_id")

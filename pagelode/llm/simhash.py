@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Workspace, arrow_map, bounds, byte_slices, named, schema_of, text_column
+from pagelode.llm.common import Workspace, arrow_groups, arrow_map, bounds, byte_slices, named, schema_of, text_column
 from pagelode.llm.components import Forest, connected_components
 
 SHINGLE = 3
@@ -146,7 +146,7 @@ def trie_join(ws: Workspace, classes: DataFrame, errors: int = ERRORS, node_size
         crowded = ws.cut(dealt.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 4 * node_size).select("node"), "crowded")
         last = depth > BITS - 6 or crowded.isEmpty()
         walked = dealt if last else dealt.join(crowded, "node", "left_anti")
-        found.append(ws.cut(walked.groupBy("node").applyInArrow(walker(depth), "u long, v long"), "links"))
+        found.append(ws.cut(arrow_groups(walked.groupBy("node"), walker(depth), "u long, v long"), "links"))
         if last:
             break
         dealt = ws.cut(_redealt(dealt.join(crowded, "node", "left_semi"), depth, depth + 6, errors), "dealt")
