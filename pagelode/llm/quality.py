@@ -151,7 +151,7 @@ def compression_bands(df: DataFrame, text: str = "text", bands: tuple = BANDS, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in byte_slices(whole, "text", 8 << 20):
+            for part in byte_slices(whole, "text", 2 << 20):
                 found = measure(part.column("text").cast(pa.string()), bands, chunk, chunk_band, level)
                 if only_kept:
                     yield part.filter(pa.array(found["kept"]))

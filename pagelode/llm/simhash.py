@@ -51,7 +51,7 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) ->
         edges = bounds(counts[some])
         sums = np.zeros((len(some), BITS), np.int64)
         values = np.array(hashes, "<u8")
-        step = 1 << 18
+        step = 1 << 14
         for a in range(0, len(values), step):  # blocks of shingles, cut within texts too
             bits = np.unpackbits(values[a : a + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             first = int(np.searchsorted(edges, a, side="right")) - 1

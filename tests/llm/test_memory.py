@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagelode.llm import common, shingles
+from pagelode.llm import common, shingles, simhash
 from pagelode.llm.common import bounds
 
 MB = 1 << 20
@@ -62,3 +62,13 @@ def test_comparison_is_a_small_multiple_of_its_sets():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert not label.any() and most < 4 * values.nbytes
+
+
+def test_fingerprints_are_a_small_multiple_of_the_texts():
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 3000, 1000)).encode() for _ in range(500)]
+    tracemalloc.start()
+    simhash.fingerprints(texts, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * sum(map(len, texts))
