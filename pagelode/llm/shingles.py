@@ -72,9 +72,10 @@ def bucket_keys(hashes: np.ndarray, edges: np.ndarray, bands: int = BANDS, rows:
 def similar(values: np.ndarray, edges: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """Labels of sets, each a range of ``values``, by links of Jaccard similarity ``similarity`` or more.
 
-    A set is counted against all that share a value with it.  Sets of the largest
-    component so far are not: a pair of two of them is joined already, and any other
-    pair has an end that is counted.  So a group of copies costs a pass, not its square.
+    A set is counted against all that share a value with it, until all that are not
+    counted lie in the largest component: a pair of two of them is joined already, and
+    any other pair has an end that is counted.  Sets left out with a component that is
+    then outgrown are counted after all.  So a group of copies costs a pass, not its square.
     """
     n = len(edges) - 1
     forest = Forest(n)
@@ -89,10 +90,11 @@ def similar(values: np.ndarray, edges: np.ndarray, similarity: float = SIMILARIT
     del order, first
     begin = bounds(np.bincount(codes))
     sizes = np.diff(edges)
-    todo = np.ones(n, np.bool_)
+    counted = np.zeros(n, np.bool_)
+    todo = ~counted
     while todo.any():
         i = int(np.argmax(todo))
-        todo[i] = False
+        counted[i] = True
         own = codes[edges[i] : edges[i + 1]]
         shared = np.zeros(n, np.int64)
         turn = np.cumsum(begin[own + 1] - begin[own]) // COUNTED
@@ -101,9 +103,7 @@ def similar(values: np.ndarray, edges: np.ndarray, similarity: float = SIMILARIT
         near = np.flatnonzero(shared > 0)
         near = near[shared[near] / (sizes[i] + sizes[near] - shared[near]) >= similarity]
         forest.link(np.full(len(near), i), near)
-        largest = int(np.argmax(np.bincount(forest.label, minlength=n)))
-        if forest.label[i] == largest:
-            todo &= forest.label != largest
+        todo = ~counted & (forest.label != np.argmax(np.bincount(forest.label, minlength=n)))
     return forest.label
 
 

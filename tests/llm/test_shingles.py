@@ -53,6 +53,15 @@ def test_similar_counts_in_parts(monkeypatch):
     assert shingles.similar(np.concatenate(sets), bounds(np.array([len(s) for s in sets]))).tolist() == [0, 0, 2, 3, 2]
 
 
+def test_similar_in_any_order():
+    """A component that is outgrown by another is still held against it: 0 and 1 are the largest first, 2, 3 and 4 then."""
+    r = random.Random(7)
+    for begins in ([0, 10, 30, 40, 20], *(r.sample(range(0, 400, 10), 30) for _ in range(50))):
+        sets = [np.arange(a, a + 100) for a in begins]
+        want = labels(dict(enumerate(begins)), [(i, j) for i, a in enumerate(begins) for j, b in enumerate(begins) if j < i and abs(a - b) <= 10])
+        assert shingles.similar(np.concatenate(sets), bounds(np.array([100] * len(sets)))).tolist() == [want[i] for i in range(len(begins))]
+
+
 def test_keys_of_equal_sets_are_equal():
     hashes, edges = shingles.shingle_hashes(pa.array(["a b c d e f", None, "A b C d e f\n", "a b"]))
     keys = shingles.bucket_keys(hashes, edges)
