@@ -319,14 +319,18 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, terms: DataFrame | Key
     """Search by ``mode``: semantic, keyword or hybrid.  queries: query_id, text, query; keys: id, key (see ``dedupe_key``).
 
     ``terms`` is a stored index, a table of postings with ``doc_lengths`` beside it, or, without them, the texts (doc_id, text).
+    Documents are scored by keyword once for each distinct text; its queries share the ranking.
     """
     if mode not in ("semantic", "keyword", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
     fetch = OVERFETCH * k if mode == "hybrid" else k
     semantic = vector_search(queries.select("query_id", "query"), vectors, fetch).join(keys, "id") if mode != "keyword" else None
-    asked = queries.select("query_id", "text")
+    asked = queries.select(F.col("text").alias("query_id"), "text").distinct()
     by_words = lambda: terms.search(asked, fetch) if isinstance(terms, KeywordIndex) else bm25_texts(asked, terms, fetch) if doc_lengths is None else bm25(asked, terms, doc_lengths, fetch)
-    keyword = by_words().withColumnRenamed("doc", "id").join(keys, "id") if mode != "semantic" else None
+    keyword = None
+    if mode != "semantic":
+        ranked = by_words().withColumnRenamed("doc", "id").join(keys, "id").withColumnRenamed("query_id", "text")
+        keyword = queries.select("query_id", "text").join(ranked, "text").drop("text")
     if mode == "hybrid":
         return fuse(semantic, keyword, k)
     return (semantic if mode == "semantic" else keyword).select("query_id", "id", "key", "score", "rank")

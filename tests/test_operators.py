@@ -247,3 +247,16 @@ def test_refine(spark):
     found = {r.id: (r.data, r.confidence) for r in flows.refine(rows, ("a", "b"), again, 2).collect()}
     assert found[1][0] == {"a": "x", "b": "new"} and found[1][1] == pytest.approx((1 + 0.2) / 1.5)
     assert found[2] == ({"a": "x", "b": "y"}, 0.3) and found[3] == ({}, 0.9)
+
+
+def test_hybrid_search_scores_each_text_once(spark, monkeypatch):
+    """Many queries of two texts: keyword search sees two, and each query has its text's ranking."""
+    docs = spark.createDataFrame([(1, "cat"), (2, "dog cat"), (3, "bird"), (4, "fish"), (5, "ant")], "doc_id long, text string")
+    keys = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("key"))
+    queries = spark.createDataFrame([(i, ("cat", "bird", None)[i % 3], [float(i), 0.0]) for i in range(12)], "query_id int, text string, query array<float>")
+    vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(1, 6)], "id long, embedding array<float>")
+    seen, plain = [], search.bm25_texts
+    monkeypatch.setattr(search, "bm25_texts", lambda asked, *rest: seen.append(asked.where("text IS NOT NULL").count()) or plain(asked, *rest))
+    found = search.hybrid_search(queries, vectors, docs, None, keys, 5, "keyword").collect()
+    assert seen == [2]
+    assert sorted((r.query_id, r.id, r.key, r["rank"]) for r in found) == sorted((i, *row) for i in range(12) for row in (((1, "cat", 1), (2, "dog cat", 2)), ((3, "bird", 1),), ())[i % 3])
