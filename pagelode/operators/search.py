@@ -240,7 +240,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 #: Queries and vectors that meet in one task.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 65536
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+
+#: Distances that a task holds at a time.
+_DISTANCES = 1 << 20
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Column | None = None, post_filter: bool = False, overfetch: int = 5, most_queries: int = QUERY_BLOCK, most_vectors: int = VECTOR_BLOCK) -> DataFrame:
@@ -278,8 +281,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Col
                 rank = np.empty(len(v_at), np.int64)
                 rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(v_at))
                 square = (v * v).sum(1)
-                for a in range(0, len(q), max(1, (1 << 22) // len(v))):
-                    part = q[a : a + max(1, (1 << 22) // len(v))]
+                for a in range(0, len(q), max(1, _DISTANCES // len(v))):
+                    part = q[a : a + max(1, _DISTANCES // len(v))]
                     rough = square[None] - 2 * (part @ v.T) + (part * part).sum(1)[:, None]
                     slack = 1e-9 * (1 + square.max() + (part * part).sum(1))
                     for i, row in enumerate(rough):
@@ -287,10 +290,11 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Col
                         near = np.flatnonzero(row <= edge + 2 * slack[i])
                         exact = ((v[near] - part[i]) ** 2).sum(1)
                         best = np.lexsort((rank[near], exact))[:fetch]
-                        qid += [int(q_at[a + i])] * len(best)
-                        vid += v_at[near[best]].tolist()
-                        far += exact[best].tolist()
-        columns = {"query_id": left.column("query_id").take(pa.array(qid, pa.int64())), "id": right.column("id").take(pa.array(vid, pa.int64())), "passed": right.column("passed").take(pa.array(vid, pa.int64())), "distance": pa.array(far, pa.float64())}
+                        qid.append(np.full(len(best), q_at[a + i], np.int32))
+                        vid.append(v_at[near[best]].astype(np.int32))
+                        far.append(exact[best])
+        q_rows, v_rows = (pa.array(np.concatenate([np.empty(0, np.int32), *at])) for at in (qid, vid))
+        columns = {"query_id": left.column("query_id").take(q_rows), "id": right.column("id").take(v_rows), "passed": right.column("passed").take(v_rows), "distance": pa.array(np.concatenate([np.empty(0), *far]))}
         return pa.table(columns)
 
     grid = lambda d, key, own, other, m, others: d.withColumn(own, F.pmod(F.xxhash64(key), F.lit(m)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))

@@ -260,3 +260,10 @@ def test_hybrid_search_scores_each_text_once(spark, monkeypatch):
     found = search.hybrid_search(queries, vectors, docs, None, keys, 5, "keyword").collect()
     assert seen == [2]
     assert sorted((r.query_id, r.id, r.key, r["rank"]) for r in found) == sorted((i, *row) for i in range(12) for row in (((1, "cat", 1), (2, "dog cat", 2)), ((3, "bird", 1),), ())[i % 3])
+
+
+def test_vector_blocks_are_small(spark, monkeypatch):
+    """What a task of the query holds of 64 dimensions is some tens of MB, and a task that takes one query at a time finds the same."""
+    assert (search.QUERY_BLOCK + search.VECTOR_BLOCK) * 64 * 8 + 3 * 8 * search._DISTANCES < 40 << 20
+    monkeypatch.setattr(search, "_DISTANCES", 64)
+    test_vector_search_in_blocks(spark, None)
