@@ -380,3 +380,22 @@ def test_reading_order_of_boxes_that_share_an_ord(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity int, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = sorted(more.cited_in_reading_order(spark, str(tmp_path)).collect())
     assert [(r.was, r.ord, r.citation) for r in found] == [(110020005, n, f"p0_txt{n}") for n in (1, 2, 3, 4)] + [(120030005, 5, "p0_txt5")]
+
+
+def test_sidecars_of_large_documents(spark, tmp_path, monkeypatch):
+    """A document beyond a file's characters is several files of whole pages; nothing is lost and small documents stay one."""
+    page = lambda n: {"page": n, "markdown": f"# {n}", "blocks": [{"type": "text", "content": f"text {n} {i}", "citation": f"c{i}"} for i in range(3)], "citations": {f"c{i}": {"page": n, "source": f"s{i}"} for i in range(3)}}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "large.json").write_text(json.dumps({"pages": [page(n) for n in (3, 1, 2, 5, 4)]}))
+    (tmp_path / "in" / "small.json").write_text(json.dumps({"pages": [page(7)]}))
+    read = sidecar.read_sidecars(spark, str(tmp_path / "in"))
+    rows = [f(read) for f in (sidecar.pages, sidecar.blocks, sidecar.citations)]
+    monkeypatch.setattr(sidecar, "PIECE", 3000)
+    sidecar.write_sidecars(sidecar.to_sidecars(*rows), str(tmp_path / "out"))
+    files = {d: [json.loads(f.read_text()) for f in (tmp_path / "out" / f"doc_id={d}").glob("part-*")] for d in ("large", "small")}
+    assert sorted([p["page"] for p in f["pages"]] for f in files["large"]) == [[1, 2, 3], [4, 5]] and len(files["small"]) == 1
+    assert {f["total_pages"] for f in files["large"]} == {5}
+    again = sidecar.read_sidecars(spark, str(tmp_path / "out"))
+    for f, before in zip((sidecar.pages, sidecar.blocks, sidecar.citations), rows, strict=True):
+        assert sorted(map(str, f(again).collect())) == sorted(map(str, before.collect())) and before.count()
+    assert sorted({(r.citation, r.source) for r in sidecar.blocks(again).collect()}) == [("c0", "s0"), ("c1", "s1"), ("c2", "s2")]
