@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import confidence as C
-from pagelode.functions.text import json_payload
+from pagelode.functions.text import json_payload, let
 from pagelode.operators import diff, fields, messages, registry, reports, search
 from pagelode.plans import prompts
 from pagelode.sources import boundary
@@ -113,17 +113,19 @@ _WANTED = {"string": ("str",), "number": ("int", "float"), "array": ("list",), "
 
 def type_errors(data: Column, properties: dict[str, str]) -> Column:
     """What is wrong with the types of a JSON object's values (a text), property by property; a missing one is no error."""
-    values = F.from_json(data, "map<string, variant>")
 
-    def error(name: str, wanted: str) -> Column:
+    def named(shown: Column) -> Column:
         kind = F.lit(None).cast("string")
-        shown = F.schema_of_variant(F.try_element_at(values, F.lit(name)))
         for begin, python in reversed(_KINDS):
             kind = F.when(F.startswith(shown, F.lit(begin)), python).otherwise(kind)
-        kind = F.when(F.map_contains_key(values, F.lit(name)), F.coalesce(kind, F.lit("NoneType")))
-        return F.when(~kind.isin(*_WANTED.get(wanted, (wanted,))), F.concat(F.lit(f"Field '{name}': expected {wanted}, got "), kind))
+        return F.coalesce(kind, F.lit("NoneType"))
 
-    return F.array_compact(F.array(*(error(n, w) for n, w in properties.items())))
+    def error(values: Column, name: str, wanted: str) -> Column:
+        kind = let(F.schema_of_variant(F.try_element_at(values, F.lit(name))), named)
+        said = lambda k: F.when(~k.isin(*_WANTED.get(wanted, (wanted,))), F.concat(F.lit(f"Field '{name}': expected {wanted}, got "), k))
+        return F.when(F.map_contains_key(values, F.lit(name)), let(kind, said))
+
+    return let(F.from_json(data, "map<string, variant>"), lambda values: F.array_compact(F.array(*(error(values, n, w) for n, w in properties.items()))))
 
 
 def discovery_context(hits: DataFrame) -> DataFrame:

@@ -399,3 +399,10 @@ def test_sidecars_of_large_documents(spark, tmp_path, monkeypatch):
     for f, before in zip((sidecar.pages, sidecar.blocks, sidecar.citations), rows, strict=True):
         assert sorted(map(str, f(again).collect())) == sorted(map(str, before.collect())) and before.count()
     assert sorted({(r.citation, r.source) for r in sidecar.blocks(again).collect()}) == [("c0", "s0"), ("c1", "s1"), ("c2", "s2")]
+
+
+def test_type_errors_parse_once(spark):
+    rows = spark.createDataFrame([('{"a": 7, "b": true}',), ('{"a": "x", "b": null}',), ('{"b": 1.5}',), ("torn",), (None,)], "data string")
+    found = rows.select(flows.type_errors(F.col("data"), {"a": "string", "b": "number"}).alias("e"))
+    assert found._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+    assert [r.e or [] for r in found.collect()] == [["Field 'a': expected string, got int", "Field 'b': expected number, got bool"], ["Field 'b': expected number, got NoneType"], [], [], []]
