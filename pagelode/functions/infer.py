@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelode.functions.text import contains_any
+from pagelode.functions.text import contains_any, let
 
 # Phrases and names that decide a type or are recognised as they stand.
 CODE_WORDS = ("code", "cd", "identifier")
@@ -75,21 +75,22 @@ def _enum(values: Column, default: bool = False) -> Column:
 
 
 def enum_values(type_: Column, description: Column, example: Column) -> Column:
-    """Values of a code field as structs (value, is_default), defaults first, then by value; null where none or another type."""
-    d, e = _plain(description), _plain(example)
+    """Values of a code field as structs (value, is_default), defaults first, then by value; null where none or another type.
+
+    Plain texts, what a pattern finds and the values themselves are each made once a field.
+    """
     group = lambda t, p, g=1: F.regexp_extract(t, p, g)
     one = lambda v: F.array(v)
-    from_description = F.concat(
+    from_description = lambda d: F.concat(
         _enum(one(group(d, ALWAYS)), True), _enum(value_list(group(d, VALUES_LIST))), _enum(F.array(group(d, EITHER_OR), group(d, EITHER_OR, 2))),
         _enum(value_list(group(d, ONE_OF))), _enum(F.regexp_extract_all(d, F.lit(XML_VALUE), F.lit(1))),
     )
-    bare = F.btrim(F.btrim(F.trim(e), F.lit('"')), F.lit("'"))
-    listed = F.concat(_enum(one(bare)), F.when(F.contains(bare, F.lit(",")), _enum(value_list(bare))).otherwise(_enum(F.array().cast("array<string>"))), _enum(F.regexp_extract_all(e, F.lit(XML_VALUE), F.lit(1))))
-    always = is_enum_value(group(e, ALWAYS))
-    from_example = F.when(always, _enum(one(group(e, ALWAYS)), True)).otherwise(listed)
-    found = F.array_sort(F.array_distinct(F.concat(from_description, from_example)))
+    in_list = lambda bare: F.concat(_enum(one(bare)), F.when(F.contains(bare, F.lit(",")), _enum(value_list(bare))).otherwise(_enum(F.array().cast("array<string>"))))
+    listed = lambda e: F.concat(let(F.btrim(F.btrim(F.trim(e), F.lit('"')), F.lit("'")), in_list), _enum(F.regexp_extract_all(e, F.lit(XML_VALUE), F.lit(1))))
+    from_example = lambda e: let(group(e, ALWAYS), lambda v: F.when(is_enum_value(v), _enum(one(v), True)).otherwise(listed(e)))
+    found = F.array_sort(F.array_distinct(F.concat(let(_plain(description), from_description), let(_plain(example), from_example))))
     values = F.transform(found, lambda x: F.struct(x["value"].alias("value"), x["is_default"].alias("is_default")))
-    return F.when((type_ == "code") & (F.size(values) > 0), values)
+    return F.when(type_ == "code", let(values, lambda v: F.when(F.size(v) > 0, v)))
 
 
 def analyte_name(raw: Column) -> Column:

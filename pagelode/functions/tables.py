@@ -82,5 +82,5 @@ def get_cell(markdown: Column, row: Column, column: Column) -> Column:
 def header_like(headers: Column, patterns: tuple[str, ...]) -> Column:
     """0-based place of the first header that matches any pattern."""
     joined = "|".join(patterns)
-    at = F.array_position(F.transform(headers, lambda h: F.lower(h).rlike(joined)), F.lit(True)).cast("int")
-    return F.when(at > 0, at - 1)
+    hit = F.transform(headers, lambda h: F.lower(h).rlike(joined))
+    return let(F.array_position(hit, F.lit(True)).cast("int"), lambda at: F.when(at > 0, at - 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import infer
 from pagelode.functions import tables as md
+from pagelode.functions.text import let
 
 # What names a message, a column or a message's purpose.
 MESSAGE = r"([A-Z]{3,4}\.[A-Z]\d+)"
@@ -33,18 +34,28 @@ DESCRIPTIONS = {
 ANALYTE_HEADERS = ("test type", "analyte", "assay", "test name", "supported test", "available test", "result", "observation", "measurement")
 
 
-def _field_rows(blocks: DataFrame) -> DataFrame:
-    """The data rows of field tables: doc_id, page, ord, citation, row, and a column for each family of headers.
+def _field_rows(markdown: Column) -> Column:
+    """The data rows of a field table as structs: row, and a value for each family of headers; none of another table.
 
-    Headers are placed once a table, below the explode of its rows.
+    One expression that splits each line and places each header once; as columns of
+    their own the cells would be split again wherever a later filter names a value.
     """
-    tables = blocks.where(F.col("type") == "table").select("doc_id", "page", "ord", "citation", md.table_lines(F.col("markdown_table")).alias("lines")).where(F.size("lines") >= 3)
-    headed = tables.withColumn("headers", md.line_cells(F.get("lines", F.lit(0))))
-    placed = headed.select("doc_id", "page", "ord", "citation", "lines", *(md.header_like(F.col("headers"), p).alias(f"at_{k}") for k, p in COLUMNS.items())).where(F.col("at_field").isNotNull())
-    at = [f"at_{k}" for k in COLUMNS]
-    rows = placed.select("doc_id", "page", "ord", "citation", *at, F.posexplode(F.slice("lines", 3, F.size("lines"))).alias("row", "line")).withColumn("cells", md.line_cells(F.col("line")))
-    full = rows.where(F.size("cells") > F.greatest(*(F.coalesce(c, F.lit(-1)) for c in at)))
-    return full.select("doc_id", "page", "ord", "citation", "row", *(F.get("cells", F.col(f"at_{k}")).alias(k) for k in COLUMNS)).where(~F.lower("field").isin("field", "name", ""))
+
+    def values(cells: Column, at: Column, row: Column) -> Column:
+        whole = F.size(cells) > F.greatest(*(F.coalesce(at[k], F.lit(-1)) for k in COLUMNS))
+        named = ~F.lower(F.get(cells, at["field"])).isin("field", "name", "")
+        return F.when(whole & named, F.struct(row.alias("row"), *(F.get(cells, at[k]).alias(k) for k in COLUMNS)))
+
+    def rows(lines: Column, at: Column) -> Column:
+        data = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
+        found = F.transform(data, lambda line, i: let(md.line_cells(line), lambda cells: values(cells, at, i)))
+        return F.when(at["field"].isNotNull(), F.filter(found, lambda r: r.isNotNull()))
+
+    def placed(lines: Column) -> Column:
+        at = lambda headers: F.struct(*(md.header_like(headers, p).alias(k) for k, p in COLUMNS.items()))
+        return F.when(F.size(lines) >= 3, let(let(md.line_cells(F.get(lines, F.lit(0))), at), lambda a: rows(lines, a)))
+
+    return let(md.table_lines(markdown), placed)
 
 
 def field_definitions(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -52,9 +63,13 @@ def field_definitions(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 
     pages: doc_id, page, markdown.  blocks: doc_id, page, ord, type, markdown_table,
     citation.  Where a page names several messages the first by position is taken.
+    Tables are read after the join, which is shuffled whatever sizes are estimated, so
+    that all tasks share the work however few files or row groups there are.
     """
-    parents = pages.select("doc_id", "page", F.regexp_extract("markdown", MESSAGE, 1).alias("message_id")).where(F.col("message_id") != "")
-    joined = _field_rows(blocks).join(parents, ["doc_id", "page"])
+    message = F.regexp_extract("markdown", MESSAGE, 1)
+    parents = pages.select("doc_id", "page", F.explode(F.filter(F.array(message), lambda m: m != "")).alias("message_id"))
+    tables = blocks.where(F.col("type") == "table").select("doc_id", "page", "ord", "citation", "markdown_table")
+    joined = tables.hint("merge").join(parents, ["doc_id", "page"]).select("doc_id", "page", "message_id", "ord", "citation", F.inline(_field_rows(F.col("markdown_table"))))
     type_ = infer.field_type(F.col("field"), F.col("description"), F.col("example"))
     return joined.select(
         "doc_id", "page", "message_id", "ord", "row", F.col("field").alias("field_name"), type_.alias("field_type"), "optionality", "cardinality",
@@ -63,9 +78,9 @@ def field_definitions(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def enum_definitions(fields: DataFrame) -> DataFrame:
-    """Code fields with their values (defaults first)."""
+    """Code fields with their values (defaults first).  Values that are none are left out as they are made: a filter would make them again."""
     values = infer.enum_values(F.col("field_type"), F.col("description"), F.col("example"))
-    return fields.withColumn("values", values).where(F.col("values").isNotNull()).select("doc_id", "message_id", "page", "ord", "row", "field_name", "values")
+    return fields.select("doc_id", "message_id", "page", "ord", "row", "field_name", F.explode(F.filter(F.array(values), lambda v: v.isNotNull())).alias("values"))
 
 
 def message_schemas(fields: DataFrame) -> DataFrame:

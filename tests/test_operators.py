@@ -46,6 +46,18 @@ def test_fields_and_schemas(spark):
     assert [v["value"] for v in fields.enum_definitions(found).first()["values"]] == ["OFF", "ON"]
 
 
+def test_fields_are_read_once_and_after_a_shuffled_join(spark):
+    table = "| Field | Description | Example |\n|---|---|---|\n| HDR.a_cd | Code, one of: ON, OFF | ON |\n| HDR.b_cd | Code | - |\n| HDR.c | When | 20240101000000 |\n| short |"
+    pages = spark.createDataFrame([("d", 1, "About OBS.R01"), ("d", 2, "none"), ("d", 3, None)], "doc_id string, page int, markdown string")
+    df = spark.createDataFrame([("d", p, 1, "table", None, t, f"t{p}{i}") for p in (1, 2, 3) for i, t in enumerate((table, None, "| Field |\n|---|", "| Other |\n|---|\n| x |"))], TEXT)
+    found = fields.enum_definitions(fields.field_definitions(pages, df))
+    assert [(r.message_id, r.row, r.field_name, [v["value"] for v in r["values"]]) for r in found.collect()] == [("OBS.R01", 0, "HDR.a_cd", ["OFF", "ON"])]
+    plan = found._jdf.queryExecution()
+    assert "Broadcast" not in plan.sparkPlan().toString()
+    optimized = plan.optimizedPlan().toString()
+    assert (optimized.count(r", \|, -1)"), optimized.count("Either") + optimized.count("[Ee]ither")) == (2, 2)  # header and line; two groups of one pattern
+
+
 def test_analyte_tables(spark):
     table = "| Analyte | Test type |\n|---|---|\n| Sodium | - |\n| Glucose | strip |"
     df = spark.createDataFrame([("d", 1, 1, "table", None, table, "t")], TEXT)
