@@ -85,6 +85,7 @@ def test_spans_are_grouped_without_the_text(spark):
     found = navigator.get_span(pages, blocks, wanted)
     rows = sorted(tuple(r) for r in found.na.fill("").collect())
     assert rows == [("d", 1, 0, 3, "one", "c2", ""), ("d", 1, 4, 8, "text", "c1", ""), ("d", 2, 0, 1, "", "", "page not found"), ("e", 1, 0, 3, "two", "", "")]
+    assert navigator.get_span(pages.union(pages), blocks, wanted).count() == 2 * len(rows)  # a page held twice answers twice, as in the SQL
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan
     assert "Aggregate" in plan and not any("markdown" in line for line in plan.splitlines() if "Aggregate" in line)
